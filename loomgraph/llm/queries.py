@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import telephony
+from loomgraph.llm import line_crf, simhash, telephony
 from loomgraph.llm.common import table
 
 
@@ -14,8 +14,18 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_media(table(spark, sf_dir, "documents"))
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.line_quality(table(spark, sf_dir, "documents"))
+
+
+def op5_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
+    "op2_line_crf": op2_line_crf,
+    "op5_ball_hashing": op5_ball_hashing,
 }
 
 ORACLES: dict[str, str] = {}
