@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import line_crf, simhash, telephony
+from loomgraph.llm import line_crf, phrases, pieces, simhash, telephony
 from loomgraph.llm.common import table
 
 
@@ -18,6 +19,28 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.line_quality(table(spark, sf_dir, "documents"))
 
 
+#: A public vocabulary with byte fallback; read on the driver only.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    """Ids of every whole text, read back into text."""
+    model = pieces.Model.read(model_path)
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return back.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.Repeats(table(spark, sf_dir, "documents")).report()
+
+
 def op5_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +48,8 @@ def op5_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
     "op2_line_crf": op2_line_crf,
+    "op3_pieces": op3_pieces,
+    "op4_phrase_automata": op4_phrase_automata,
     "op5_ball_hashing": op5_ball_hashing,
 }
 
