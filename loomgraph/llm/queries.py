@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import line_crf, phrases, pieces, simhash, telephony
+from loomgraph.llm import kneser_ney, line_crf, phrases, pieces, random_indexing, simhash, telephony
 from loomgraph.llm.common import table
 
 
@@ -45,12 +45,22 @@ def op5_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return random_indexing.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
     "op2_line_crf": op2_line_crf,
     "op3_pieces": op3_pieces,
     "op4_phrase_automata": op4_phrase_automata,
     "op5_ball_hashing": op5_ball_hashing,
+    "op6_kneser_ney": op6_kneser_ney,
+    "op10_random_indexing": op10_random_indexing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -106,3 +106,22 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:n]) > 0
+
+
+class Lookup:
+    """Places of 64-bit keys in a sorted table, behind a bit filter that turns most strangers away cheaply."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 21):
+        self.keys, self.shift = keys, U64(64 - bits)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[(keys * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)] = True
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        out = np.full(len(asked), -1, np.int64)
+        maybe = np.flatnonzero(self.filter[(asked * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)])
+        if len(maybe) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, asked[maybe]), len(self.keys) - 1)
+            hit = self.keys[at] == asked[maybe]
+            out[maybe[hit]] = at[hit]
+        return out
