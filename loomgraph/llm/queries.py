@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import kneser_ney, line_crf, phrases, pieces, random_indexing, simhash, telephony
+from loomgraph.llm import chat, kneser_ney, line_crf, phrases, pieces, random_indexing, simhash, telephony
 from loomgraph.llm.common import table
 
 
@@ -49,6 +49,16 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose texts are control strings of a common template."""
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.formatted(rows))
+
+
 def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_indexing.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_phrase_automata": op4_phrase_automata,
     "op5_ball_hashing": op5_ball_hashing,
     "op6_kneser_ney": op6_kneser_ney,
+    "op9_chat_assembly": op9_chat_assembly,
     "op10_random_indexing": op10_random_indexing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_chat_assembly": chat.SQL,
+}
