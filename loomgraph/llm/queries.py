@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, kneser_ney, line_crf, phrases, pieces, random_indexing, simhash, telephony
+from loomgraph.llm import chat, kneser_ney, licenses, line_crf, mixing, phrases, pieces, random_indexing, simhash, telephony
 from loomgraph.llm.common import table
 
 
@@ -49,6 +49,14 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chances(table(spark, sf_dir, "documents"))
+
+
+def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7, whose texts are control strings of a common template."""
     hard = "</s>[INST] ok [/INST]"
@@ -70,10 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_phrase_automata": op4_phrase_automata,
     "op5_ball_hashing": op5_ball_hashing,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_raking": op7_raking,
+    "op8_license_join": op8_license_join,
     "op9_chat_assembly": op9_chat_assembly,
     "op10_random_indexing": op10_random_indexing,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_raking": mixing.SQL,
+    "op8_license_join": licenses.SQL,
     "op9_chat_assembly": chat.SQL,
 }
