@@ -166,10 +166,11 @@ def exists_semi(spark, sf):
     return m.exists(m.pattern(q, "?c", TYPE, is_a("customer")), m.pattern(q, "?o", p("orders", "o_custkey"), "?c")).select(tail("c").alias("customer"))
 
 
-@query("SELECT c_custkey AS customer FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS customer FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def not_exists_anti(spark, sf):
     q = customers(spark, sf)
-    return m.not_exists(m.pattern(q, "?c", TYPE, is_a("customer")), m.pattern(q, "?o", p("orders", "o_custkey"), "?c")).select(tail("c").alias("customer"))
+    urgent = m.bgp(q, ("?o", p("orders", "o_custkey"), "?c"), ("?o", p("orders", "o_orderpriority"), "S1-URGENT"))
+    return m.not_exists(m.pattern(q, "?c", TYPE, is_a("customer")), urgent).select(tail("c").alias("customer"))
 
 
 @query("SELECT c_custkey AS customer, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'buyer' ELSE 'idle' END AS kind FROM customer")
@@ -490,6 +491,38 @@ scalar("fn_lang_matches", "c_custkey % 2 = 0", lambda n: x.lang_matches(F.when(F
 scalar("fn_n_triple", """'<urn:' || c_custkey || '> "' || c_name || chr(92) || 'n' || chr(92) || '""'""", lambda n: F.concat_ws(" ", t.n_triple(t.iri(F.concat(F.lit("urn:"), F.col("k").cast("string")))), t.n_triple(t.plain(F.concat(n, F.lit('\n"'))))))
 scalar("lookup_key_folding", "lower(c_name)", lambda n: x.lookup_key(F.concat(F.lit(" \t"), n, F.lit("\r\n"))))
 
+scalar("fn_hashes", "md5(c_name) || sha1(c_name) || sha256(c_name)", lambda n: F.concat(x.digest(n, "MD5"), x.digest(n, "SHA1"), x.digest(n, "SHA256")))
+scalar("fn_str", "'urn:' || c_custkey || c_name", lambda n: F.concat(t.lexical(t.iri(F.concat(F.lit("urn:"), F.col("k").cast("string")))), t.lexical(t.typed(n, "urn:dt"))))
+scalar("fn_is_kind", "c_custkey % 3 = 0", lambda n: t.kind(F.when(F.col("k") % 3 == 0, t.iri(n)).otherwise(t.plain(n))) == "I")
+scalar("fn_is_numeric", "c_custkey % 2 = 0", lambda n: F.coalesce(t.is_numeric(F.when(F.col("k") % 2 == 0, t.integer(F.col("k"))).otherwise(t.plain(F.col("k")))), F.lit(False)))
+scalar("fn_strdt_strlang", "c_name || '@en^^urn:dt'", lambda n: F.concat(t.lexical(t.tagged(n, "en")), F.lit("@"), t.language(t.tagged(n, "en")), F.lit("^^"), t.datatype(t.typed(n, "urn:dt"))))
+scalar("fn_same_term", "c_custkey % 2 = 1", lambda n: t.integer(F.lit("1")) == t.integer((F.col("k") % 2).cast("string")))
+scalar("fn_in_list", "c_custkey IN (1, 5, 7)", lambda n: t.integer(F.col("k")).isin(*(f"T{t.XSD}integer\0{i}" for i in (1, 5, 7))))
+scalar("fn_bound", "c_custkey % 4 <> 0", lambda n: F.when(F.col("k") % 4 != 0, n).isNotNull())
+scalar("fn_casts", "CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || CAST(c_custkey AS VARCHAR)", lambda n: F.concat(x.to_boolean((1 - F.col("k") % 2).cast("string")).cast("string"), x.to_double(F.concat(F.col("k").cast("string"), F.lit(".0e0"))).cast("bigint").cast("string")))
+scalar("fn_negate", "-c_custkey", lambda n: x.subtracted(F.lit(0), F.col("k")))
+
+
+@query("SELECT c_custkey AS k, CAST(abs(a) AS BIGINT) AS abs_v, CAST(ceil(a / 4) AS BIGINT) AS ceil_v, CAST(floor(a / 4) AS BIGINT) AS floor_v, CAST(floor(a / 4 + 0.5) AS BIGINT) AS round_v FROM (SELECT c_custkey, CAST(c_custkey - 70 AS DOUBLE) AS a FROM customer)")
+def fn_rounding(spark, sf):
+    v = F.col("c_custkey").cast("double") - 70
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), x.rounded(v, "abs").cast("bigint").alias("abs_v"), *(x.rounded(v / 4, how).cast("bigint").alias(f"{how}_v") for how in ("ceil", "floor", "round")))
+
+
+@query("SELECT o_orderkey AS ord, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, day(o_orderdate)::BIGINT AS d, hour(o_orderdate)::BIGINT AS h, 'Z' AS tz FROM orders")
+def fn_date_parts(spark, sf):
+    lexical = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    part = lambda name: x.date_part(lexical, name)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), part("year").alias("y"), part("month").alias("m"), part("day").alias("d"), part("hours").alias("h"), part("tz").alias("tz"))
+
+
+@query("SELECT o_custkey AS customer, count(DISTINCT (o_orderstatus, o_orderpriority)) AS n, string_agg(DISTINCT o_orderstatus, ' ' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")
+def group_distinct(spark, sf):
+    q = m.bgp(customers(spark, sf), ("?o", p("orders", "o_custkey"), "?c"), ("?o", p("orders", "o_orderstatus"), "?st"), ("?o", p("orders", "o_orderpriority"), "?pr"))
+    out = a.grouped(q, ["c"], n=a.count_distinct(F.col("st"), F.col("pr")), statuses=F.array_join(F.array_sort(F.collect_set(txt("st"))), " "))
+    return out.select(tail("c").alias("customer"), "n", "statuses")
+
+
 NI = "'ni:///sha-256;' || rtrim(translate(to_base64(unhex(sha256({0}))), '+/', '-_'), '=')"
 UUID = """(SELECT 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)
 FROM (SELECT sha256('seed|urn:rule|' || replace(replace(c_name, '%', '%25'), '|', '%7C') || CASE WHEN c_custkey % 2 = 0 THEN '|' || c_custkey ELSE '' END) AS h))"""
@@ -740,6 +773,31 @@ def document_table_lookup(spark, sf):
     return records.document_table(facts, first, ["conv_id"])
 
 
+@query("SELECT o_orderkey AS ord, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS written FROM orders")
+def last_update_restored(spark, sf):
+    """Mapped moments in another spelling get back the one that the source had."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("rid"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("x"))
+    q = o.select("rid", t.iri(F.concat(F.lit("urn:"), F.col("rid"))).alias("s"), F.lit("Iurn:updated").alias("p"), t.typed(F.concat("x", F.lit("Z")), t.XSD + "dateTime").alias("o"))
+    source = o.select("rid", F.concat("x", F.lit("+00:00")).alias("value"))
+    return records.restored(q, source, "Iurn:updated").select(F.col("rid").cast("bigint").alias("ord"), txt("o").alias("written"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS document, {NI.format('coalesce(text, chr(0))')} AS name, 4::BIGINT AS n FROM documents")
+def document_description(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document"), x.ni_name(F.coalesce("text", F.lit("\0"))).alias("name"))
+    out = records.described(d).groupBy("rid").agg(F.count("*").alias("n"), F.max(F.when(t.kind(F.col("s")) == "I", txt("s"))).alias("name"))
+    return out.select(F.col("rid").alias("document"), "name", "n")
+
+
+@query("SELECT n_nationkey AS nation, 2::BIGINT AS triples, sha256('<urn:' || n_nationkey || '> <urn:name> \"' || n_name || '\" .' || chr(10) || '<urn:' || n_nationkey || '> <urn:region> \"' || n_regionkey || '\" .' || chr(10)) AS digest FROM nation")
+def graph_digest(spark, sf):
+    n = table(spark, sf, "nation")
+    s = t.iri(F.concat(F.lit("urn:"), F.col("n_nationkey").cast("string")))
+    one = lambda name, o: n.select(F.col("n_nationkey").cast("string").alias("rid"), s.alias("s"), F.lit(f"Iurn:{name}").alias("p"), t.plain(o).alias("o"))
+    q = one("name", F.col("n_name"))
+    return records.graph_digest(q.union(one("region", F.col("n_regionkey"))).union(q)).select(F.col("rid").cast("int").alias("nation"), "triples", "digest")
+
+
 def accounting(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
     acc = m.values(spark, ["path", "verdict", "gap", "lookup", "miss_gap"], [("/id", "carried", None, None, None), ("/type", "carriedInPart", "typeGap", "types", "typeUnknown"), ("/price", "noHome", "priceGap", None, None), ("/none", "ignored", None, None, None), ("/list", "noHome", "lossGap", None, None)])
     gaps = m.values(spark, ["gap", "kind", "severity"], [("typeGap", "sourceLacksRequired", "Warning"), ("priceGap", "noPredicate", None), ("lossGap", "carriedWithLoss", None), ("typeUnknown", "valueNotMapped", "Violation")])

@@ -86,6 +86,37 @@ def lang_matches(language: Column, wanted: str) -> Column:
     return (low == wanted.lower()) | F.startswith(low, F.lit(wanted.lower() + "-"))
 
 
+def rounded(number: Column, how: str) -> Column:
+    """abs, ceil, floor, or round (halves up, as SPARQL has it)."""
+    return {"abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": lambda n: F.floor(n + F.lit(0.5))}[how](number)
+
+
+def digest(text: Column, how: str) -> Column:
+    """MD5, SHA1, SHA256, SHA384 or SHA512 of a string, in lower-case hex."""
+    raw = text.cast("binary")
+    return F.md5(raw) if how == "MD5" else F.sha1(raw) if how == "SHA1" else F.sha2(raw, int(how[3:]))
+
+
+DATE_TIME = r"^(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?)(Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
+def date_part(lexical: Column, part: str) -> Column:
+    """year, month, day, hours, minutes, seconds (as written) or tz of an xsd:dateTime, from its lexical form; NULL if it is none."""
+    k = {"year": 1, "month": 2, "day": 3, "hours": 4, "minutes": 5, "seconds": 6, "tz": 7}[part]
+    found = F.regexp_extract(lexical, DATE_TIME, k)
+    return F.when(lexical.rlike(DATE_TIME), found if part in ("seconds", "tz") else found.try_cast("bigint"))
+
+
+def to_boolean(text: Column) -> Column:
+    return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+
+
+def to_double(text: Column) -> Column:
+    """xsd:double of a string: no white space, INF and NaN as XML writes them."""
+    special = F.when(text == "INF", F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).when(text == "NaN", F.lit(float("nan")))
+    return F.coalesce(special, F.when(text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double")))
+
+
 # -- names and keys ----------------------------------------------------------------------------------------
 
 

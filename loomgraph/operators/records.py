@@ -75,3 +75,34 @@ def arrivals(named: DataFrame, selectors: DataFrame) -> DataFrame:
 def document_table(facts: DataFrame, lookups: DataFrame, keys: list[str]) -> DataFrame:
     """Two passes over records: what a first query found in any record of a document is joined to every record of it."""
     return facts.join(lookups.distinct(), keys, "left")
+
+
+def restored(quads: DataFrame, source: DataFrame, predicate: str) -> DataFrame:
+    """dateTime objects of a predicate as the source wrote them: values of the record (rid, value) that mean the same moment, least first."""
+    lexical = source.select("rid", "value", F.try_to_timestamp("value").alias("at")).filter("at IS NOT NULL")
+    first = lexical.groupBy("rid", "at").agg(F.min("value").alias("value"))
+    mine = quads.withColumn("at", F.when(F.col("p") == predicate, t.moment(F.col("o"))))
+    out = mine.join(first, ["rid", "at"], "left")
+    new = F.when(F.col("value").isNotNull(), t.typed(F.col("value"), t.XSD + "dateTime")).otherwise(F.col("o"))
+    return out.select("rid", "s", "p", new.alias("o"))
+
+
+def described(documents: DataFrame) -> DataFrame:
+    """(rid, s, p, o) that describe a document (columns document, name): an entity, the activity that read it, and how they hang together."""
+    prov, rdf = "http://www.w3.org/ns/prov#", t.RDF
+    doc, act = t.iri(F.col("name")), t.blank(x.stable_label(F.col("document"), F.col("name")))
+    one = lambda s, p, o: F.struct(s.alias("s"), F.lit("I" + p).alias("p"), o.alias("o"))
+    triples = F.array(
+        one(doc, rdf + "type", F.lit("I" + prov + "Entity")),
+        one(act, rdf + "type", F.lit("I" + prov + "Activity")),
+        one(act, prov + "used", doc),
+        one(doc, "http://www.w3.org/2000/01/rdf-schema#label", t.plain(F.col("document"))),
+    )
+    return documents.select(F.col("document").alias("rid"), F.inline(triples))
+
+
+def graph_digest(quads: DataFrame) -> DataFrame:
+    """rid, triples and digest: SHA-256 of a record's sorted distinct lines (graphs without blank nodes)."""
+    line = F.concat_ws(" ", *(t.n_triple(F.col(c)) for c in ("s", "p", "o")), F.lit("."))
+    lines = quads.groupBy("rid").agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    return lines.select("rid", F.size("lines").cast("bigint").alias("triples"), F.sha2(F.concat(F.array_join("lines", "\n"), F.lit("\n")).cast("binary"), 256).alias("digest"))

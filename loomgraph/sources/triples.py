@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import terms as t
 
+# Namespaces of the public Facade-X vocabulary, and the DOM's name for text content.
 FX = "http://sparql.xyz/facade-x/ns/"
 XYZ = "http://sparql.xyz/facade-x/data/"
 TEXT_CONTENT = "https://dom.spec.whatwg.org/#dom-node-textcontent"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import patterns as m
 from loomgraph.plans.convert import Adapter, AdapterError, DocumentError, accepts, convert, related
+from loomgraph.sources import documents
 from loomgraph.sources import nodes as nd
 from loomgraph.sources import triples as tr
 from loomgraph.streaming import ingest
@@ -114,6 +115,18 @@ def test_convert(spark):
         convert(table, adapter(spark), strict=True)
 
 
+def test_encodings(spark, tmp_path):
+    text = "<?xml version='1.0'?><a>é</a>"
+    label = "<?xml version='1.0' encoding='ISO-8859-1'?><a>é</a>"
+    rows = [b"\xef\xbb\xbf" + text.encode(), text.encode(), b"\xff\xfe" + text.encode("utf-16-le"), text.encode("utf-16-be"), label.encode("latin-1"), b"<a>\xff</a>", b"<?xml version='1.0' encoding='EBCDIC'?><a/>"]
+    df = spark.createDataFrame([(bytearray(r),) for r in rows], "v binary")
+    assert [r[0] for r in df.select(documents.decoded(F.col("v"))).collect()] == [text, text, text, text, label, None, None]
+    assert [r[0] for r in df.limit(2).select(documents.decoded_json(F.col("v"))).collect()] == [None, text]
+    (tmp_path / "a.xml").write_bytes(rows[1])
+    got = documents.read(spark, str(tmp_path)).first()
+    assert got["text"] == text and got["media_type"] == "application/xml" and got["name"].startswith("ni:///sha-256;")
+
+
 def test_adapters_are_checked(spark):
     with pytest.raises(AdapterError):
         Adapter("csv", "x").checked()
