@@ -251,14 +251,17 @@ class Repeats:
         self.firsts = written(long_ones.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), path, "firsts")
         held = long_ones.join(self.firsts, "doc_id", "left_semi").select("doc_id", F.inline("anchors"))
         recurring = held.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("h", "n")
+        # Written, so that the join that follows is between two plain tables and Spark can split its hot keys.
+        recurring = written(recurring, path, "recurring")
         found = held.join(recurring, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place", "lo", "hi", "n")).alias("found"))
         segs = written(segments(self.texts.join(found, "doc_id")), path, "segments")
         distinct = segs.groupBy("h", "whole").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.any_value("windows").alias("windows"))
         windows = distinct.select("h", "x", "y", F.explode("windows").alias("w"))
         confirmed = windows.groupBy("h", "w").agg(F.min("x").alias("first"), F.max("y").alias("last")).filter("first < last").select("h", "w", "first")
         confirmed = written(confirmed, path, "confirmed")
-        phrases = segs.groupBy("h").agg(F.min("phrase").alias("phrase"), F.max("n").alias("n")).join(confirmed.select("h").distinct(), "h", "left_semi")
-        ranges = located(confirmed, written(phrases, path, "phrases"), segs.join(confirmed.select("h").distinct(), "h", "left_semi"))
+        used = written(confirmed.select("h").distinct(), path, "used")
+        phrases = segs.groupBy("h").agg(F.min("phrase").alias("phrase"), F.max("n").alias("n")).join(used, "h", "left_semi")
+        ranges = located(confirmed, written(phrases, path, "phrases"), segs.join(used, "h", "left_semi"))
         self.ranges = written(ranges, path, "ranges")
         self.by_document = self.ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
