@@ -11,7 +11,7 @@ from loomgraph.functions import scalars as x
 def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """doc_id (the path), content, name (its ni: name), media type by suffix, and text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\\.([A-Za-z0-9]+)$", 1))
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     media = F.when(suffix == "xml", "application/xml").when(suffix == "json", "application/json").when(suffix == "ttl", "text/turtle").when(suffix == "nt", "application/n-triples")
     return files.select(F.col("path").alias("doc_id"), "content", x.ni_name(F.col("content")).alias("name"), media.alias("media_type"), decoded(F.col("content")).alias("text"))
 
