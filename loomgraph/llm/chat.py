@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import buffers, sliced
+from loomgraph.llm.common import buffers, sliced, small_batches
 
 TURN, END = b"<|turn|>", b"<|end|>\n"
 #: What must not stand in a text as it is: this template's marks, and marks of other common templates.
@@ -79,7 +79,7 @@ def assembled(roles: list[str | None], data: np.ndarray, offsets: np.ndarray) ->
 
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, n_turns, formatted and loss_spans (start and length, in code points, of the contents of trained roles)."""
-    base = turns.select(
+    base = small_batches(turns).select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     key = base.schema["conv_id"].dataType.simpleString()

@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one task turns into numpy arrays at a time.
-SLICE_BYTES = 2 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+from loomgraph.tables import shared_dir, table, written
 
-    Only where the session names none (tests, one machine) is a local one made and set.
-    """
-    base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/loomgraph-{uuid.uuid4().hex}"
+__all__ = ["SLICE_BYTES", "buffers", "drop_shuffles", "id_and_text", "shared_dir", "sliced", "small_batches", "table", "written"]
 
-
-def written(df: DataFrame, path: str, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    schema = df.schema
-    df.write.parquet(f"{path}/{name}")
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+#: Bytes of text that one task turns into numpy arrays at a time.
+SLICE_BYTES = 1 << 20
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -45,9 +21,15 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold a few MB: long texts then need no more memory than short ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
+    return df
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that a text operator needs; a null text counts as empty."""
-    return docs.select(
+    return small_batches(docs).select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
@@ -78,7 +60,4 @@ def sliced(batch: pa.RecordBatch, column: int, max_bytes: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
-
-
-def strings(parts: list[str]) -> pa.Array:
-    return pa.array(parts, pa.string())
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages, their idle memory should not be

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import buffers, id_and_text, sliced
+from loomgraph.llm.common import buffers, id_and_text, sliced, small_batches
 from loomgraph.llm.words import FIRST, SPACE, U64, Words, covered, per_text
 
 SYMBOLS = np.zeros(256, bool)
@@ -192,7 +192,7 @@ def kept_documents(docs: DataFrame, crf: LineCrf = LineCrf(), text_col: str = "t
             for part in sliced(batch, at):
                 yield part.filter(pa.array(measures(*buffers(part.column(at)), crf)["kept"]))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def line_quality(docs: DataFrame, crf: LineCrf = LineCrf(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ from loomgraph.llm.words import U64, _mixed
 
 SPACE, MARK = 0x20, "▁"
 LONGEST = 40
-SLICE = 4 << 20
+SLICE = 3 << 19
 FILTER_BITS = 22
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 

@@ -33,9 +33,9 @@ LOWER[65:91] += 32
 
 BITS, HALF = 64, 2
 #: Variants that one task sorts at a time.
-BUCKET_VARIANTS = 1 << 20
+BUCKET_VARIANTS = 1 << 19
 #: Fingerprints that are expanded at a time.
-EXPANDED = 4096
+EXPANDED = 512
 
 ONE = [1 << i for i in range(BITS)]
 MASKS = np.array([0, *ONE, *(a | b for a, b in combinations(ONE, 2))], U64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import sliced
+from loomgraph.llm.common import sliced, small_batches
 
 MULAW, ALAW, ADPCM = 7, 6, 0x11
 RATE, BLOCK = 8000, 64
@@ -156,7 +156,7 @@ def store(df: DataFrame, payload: str = "payload", codec: str = "codec") -> Data
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*rest, "media"])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return small_batches(df).select(*rest).mapInArrow(run, schema)
 
 
 def _samples(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
