@@ -5,8 +5,8 @@ dimension after the other they are multiplied so that its marginal meets the tar
 rounds. A cell's factor, over the largest factor, is the probability of its documents; a hash of the id decides.
 So expected tokens are in the target proportions in every dimension, and no probability is cut off at 1.
 
-Rounds are windows over the cell table (one row a cell, whatever the corpus), not joins, and the plan grows by one
-window a step. The only work over documents is one scan, one aggregation with partial sums and one
+Rounds are windows over the cell table (one row a cell, whatever the corpus), not joins; after every ``ROUNDS_A_PLAN``
+rounds the cells are written, so that no plan holds more than that. The only work over documents is one scan, one aggregation with partial sums and one
 equi-join with the factors, which Spark may turn into a broadcast after it has measured their size.
 
 Defined results: null dimensions are the value ''; texts without words have no tokens and the probability of
@@ -25,6 +25,8 @@ from loomgraph.llm.common import shared_dir, written
 BLANKS = " \t\n\x0b\f\r"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 12
+#: Rounds in one plan: the driver describes a plan again after each of its stages, so long plans cost it memory.
+ROUNDS_A_PLAN = 3
 #: Targets of the registered query: shares of tokens to this power. Below 1 it lifts what is rare.
 POWER = 0.7
 
@@ -59,13 +61,16 @@ def tempered(cells: DataFrame, dimension: str, power: float = POWER) -> DataFram
     return raised.select("value", (F.col("r") / total).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, path: str | None = None) -> DataFrame:
     """cells with a column ``factor``; targets: for each dimension value and share of tokens (values left out get share 0)."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cells.withColumn("factor", F.lit(1.0))
     for d, target in targets.items():
         now = now.join(target.select(F.col("value").alias(d), F.col("share").alias(f"__{d}")), d, "left").fillna(0.0, [f"__{d}"])
-    for _ in range(rounds):
+    path = path or shared_dir(cells.sparkSession)
+    for k in range(rounds):
+        if k and k % ROUNDS_A_PLAN == 0:
+            now = written(now, path, f"round{k}")
         for d in targets:
             have = F.sum(F.col("tokens") * F.col("factor")).over(W.partitionBy(d))
             now = now.withColumn("factor", F.when(have > 0, F.col("factor") * F.col(f"__{d}") * total / have).otherwise(F.col("factor")))
@@ -85,7 +90,7 @@ def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "
     base = written(base, path, "counted")
     cells = written(base.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), path, "cells")
     targets = targets(cells) if targets else {d: tempered(cells, d) for d in DIMENSIONS}
-    factors = written(raked(cells, targets, rounds), path, "factors")
+    factors = written(raked(cells, targets, rounds, path), path, "factors")
     top = factors.filter("tokens > 0").agg(F.max("factor")).first()[0]
     probability = F.least(F.lit(1.0), F.col("factor") / top) if top else F.lit(1.0)
     return base.join(factors.select(*DIMENSIONS, probability.alias("probability")), list(DIMENSIONS)).select(
