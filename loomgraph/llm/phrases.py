@@ -180,7 +180,7 @@ class Shard:
                 for end, (h, size) in self.automaton.iter(f" {segment} "):
                     hits_row.append(row)
                     hits_h.append(h)
-                    hits_at.append(segment.count(" ", 0, end + 1 - size) + (end + 1 > size))
+                    hits_at.append(segment.count(" ", 0, end + 1 - size))
         none = np.zeros(0, np.int64)
         if not hits_row:
             return none, none, none

@@ -55,6 +55,17 @@ def test_awkward_passages_and_odd_rows(spark):
     check(rows(Repeats(odd_documents(spark, list(docs.items()))).report()), {**dict(ODD), **docs})
 
 
+def test_passages_of_one_to_three_windows(spark):
+    """Where a passage has few windows, each counts: their anchors lie anywhere in them, at both ends too."""
+    rng = random.Random(50)
+    say = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 10**6)) for _ in range(n))
+    docs = {}
+    for k in range(600):
+        passage = say(50 + k % 3)
+        docs |= {1000 + k: f"{say(rng.randint(0, 9))} {passage} {say(rng.randint(0, 9))}", 2000 + k: f"{say(rng.randint(0, 9))} {passage} {say(rng.randint(0, 9))}"}
+    check(rows(Repeats(odd_documents(spark, list(docs.items()))).report()), {**dict(ODD), **docs})
+
+
 def test_empty_table(spark):
     assert Repeats(odd_documents(spark).limit(0)).report().count() == 0
 
