@@ -5,6 +5,10 @@ dimension after the other they are multiplied so that its marginal meets the tar
 rounds. A cell's factor, over the largest factor, is the probability of its documents; a hash of the id decides.
 So expected tokens are in the target proportions in every dimension, and no probability is cut off at 1.
 
+Where that would keep less than the share ``retention`` of all tokens, because some cell is rare, the cells are raked to
+that budget instead, and what cells count for is at most all they have: rare cells stay whole, and the others share
+the rest of the budget in target proportions. The registered query has no such budget (its SQL defines it without).
+
 Rounds are windows over the cell table (one row a cell, whatever the corpus), not joins; after every ``ROUNDS_A_PLAN``
 rounds the cells are written, so that no plan holds more than that. The only work over documents is one scan, one aggregation with partial sums and one
 equi-join with the factors, which Spark may turn into a broadcast after it has measured their size.
@@ -27,6 +31,8 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 12
 #: Rounds in one plan: the driver describes a plan again after each of its stages, so long plans cost it memory.
 ROUNDS_A_PLAN = 3
+#: Share of all tokens that the sample keeps at least.
+RETENTION = 0.5
 #: Targets of the registered query: shares of tokens to this power. Below 1 it lifts what is rare.
 POWER = 0.7
 
@@ -61,9 +67,12 @@ def tempered(cells: DataFrame, dimension: str, power: float = POWER) -> DataFram
     return raised.select("value", (F.col("r") / total).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, path: str | None = None) -> DataFrame:
-    """cells with a column ``factor``; targets: for each dimension value and share of tokens (values left out get share 0)."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, path: str | None = None, budget: float | None = None) -> DataFrame:
+    """cells with a column ``factor``; targets: for each dimension value and share of tokens (values left out get share 0).
+
+    With a budget (tokens), factors are scaled to it, and a cell counts for the tokens it has at most."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0) if budget is None else budget
+    stays = F.col("factor") if budget is None else F.least(F.lit(1.0), F.col("factor"))
     now = cells.withColumn("factor", F.lit(1.0))
     for d, target in targets.items():
         now = now.join(target.select(F.col("value").alias(d), F.col("share").alias(f"__{d}")), d, "left").fillna(0.0, [f"__{d}"])
@@ -72,15 +81,28 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         if k and k % ROUNDS_A_PLAN == 0:
             now = written(now, path, f"round{k}")
         for d in targets:
-            have = F.sum(F.col("tokens") * F.col("factor")).over(W.partitionBy(d))
+            have = F.sum(F.col("tokens") * stays).over(W.partitionBy(d))
             now = now.withColumn("factor", F.when(have > 0, F.col("factor") * F.col(f"__{d}") * total / have).otherwise(F.col("factor")))
     return now.select(*cells.columns, "factor")
 
 
-def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic) -> DataFrame:
+def scale_to(factors: DataFrame, budget: float) -> float:
+    """What factors are multiplied by, so that cells, each with all it has at most, keep the budget."""
+    scale = 1.0
+    for _ in range(40):
+        # Concave in the scale, so each step comes nearer from below.
+        kept = factors.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * scale))).first()[0] or 0.0
+        if kept <= 0 or kept >= budget * (1 - 1e-4):
+            break
+        scale *= budget / kept
+    return scale
+
+
+def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic, retention: float | None = RETENTION) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept of every document.
 
-    targets: a function from the cell table to {dimension: (value, share)}; tempered shares where it is None."""
+    targets: a function from the cell table to {dimension: (value, share)}; tempered shares where it is None.
+    retention: the share of all tokens that is kept at least; None sets the scale by the largest factor alone."""
     path = shared_dir(docs.sparkSession)
     text = F.col(text_col).cast("string")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -91,7 +113,10 @@ def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "
     cells = written(base.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), path, "cells")
     targets = targets(cells) if targets else {d: tempered(cells, d) for d in DIMENSIONS}
     factors = written(raked(cells, targets, rounds, path), path, "factors")
-    top = factors.filter("tokens > 0").agg(F.max("factor")).first()[0]
+    top, total, kept = factors.filter("tokens > 0").agg(F.max("factor"), F.sum("tokens"), F.sum(F.col("tokens") * F.col("factor"))).first()
+    if retention is not None and top and kept / top < retention * total:
+        factors = written(raked(cells, targets, rounds, f"{path}/budget", retention * total), path, "budgeted")
+        top = 1 / scale_to(factors, retention * total)
     probability = F.least(F.lit(1.0), F.col("factor") / top) if top else F.lit(1.0)
     return base.join(factors.select(*DIMENSIONS, probability.alias("probability")), list(DIMENSIONS)).select(
         "doc_id", *DIMENSIONS, "n_tokens", F.round("probability", 9).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("kept")

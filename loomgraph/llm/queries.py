@@ -50,7 +50,8 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.chances(table(spark, sf_dir, "documents"))
+    """As the SQL defines it: the largest factor sets the scale."""
+    return mixing.chances(table(spark, sf_dir, "documents"), retention=None)
 
 
 def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:

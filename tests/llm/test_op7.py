@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import mixing
 from loomgraph.llm.queries import ORACLES, QUERIES
@@ -43,6 +44,18 @@ def test_sample_has_target_proportions(spark):
         assert kept[s] == pytest.approx(n * p, abs=4 * (n * p * (1 - p)) ** 0.5 + 1)
 
 
+def test_a_rare_cell_does_not_thin_the_rest(spark):
+    """Two documents of a rare source stay whole; of the others half stays, in target proportions."""
+    source = "CASE WHEN id < 2 THEN 'rare' WHEN id % 10 < 7 THEN 'hot' ELSE 'warm' END"
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'w w w w w' AS text", f"{source} AS source", "if(id < 2, 'xx', 'en') AS lang")
+    got = {r["source"]: r for r in mixing.chances(docs).groupBy("source").agg(F.count("*").alias("n"), F.avg("probability").alias("p")).collect()}
+    assert got["rare"]["p"] == 1.0
+    assert sum(r["n"] * r["p"] for r in got.values()) / 20_000 == pytest.approx(mixing.RETENTION, abs=1e-3)
+    hot, warm = got["hot"], got["warm"]
+    assert hot["n"] * hot["p"] / (warm["n"] * warm["p"]) == pytest.approx((hot["n"] / warm["n"]) ** mixing.POWER, rel=1e-3)
+    assert mixing.mixed(docs).count() == pytest.approx(10_000, abs=300)
+
+
 def test_odd_rows(spark):
     table = odd_documents(spark, [(1, None)])
     got = mixing.chances(table)
