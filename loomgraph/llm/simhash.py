@@ -205,7 +205,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **settings) -> DataFrame:
-    """The documents with the smallest id of their component, with their columns as they are. Of rows that repeat an id, each stays."""
+    """The documents with the smallest id of their component, with their columns as they are. Of rows that repeat an id, each stays.
+
+    A row without an id stays where no document with an id is in its component; such rows are found again by their text."""
     found = near_duplicates(docs, id_col, text_col, shingle, **settings)
     stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stay, id_col, "left_semi").select(*docs.columns)
+    free = found.filter("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+    without = docs.filter(F.col(id_col).isNull()).withColumn("__text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    prints = fingerprints(without, "__text", text_col, shingle, settings.get("seed", 42)).select(F.col("doc_id").alias("__text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    alone = prints.join(free, "fingerprint", "left_semi").select("__text").distinct()
+    return docs.join(stay, id_col, "left_semi").select(*docs.columns).union(without.join(alone, "__text", "left_semi").select(*docs.columns))

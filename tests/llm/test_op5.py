@@ -75,3 +75,12 @@ def test_one_document_of_each_group_stays(spark):
     assert stay.columns == docs.columns
     ids = {r["doc_id"] for r in stay.collect()}
     assert 5 in ids and 6 not in ids and 1 in ids and 2 not in ids
+
+
+def test_rows_without_an_id_stay_unless_a_document_with_one_is_near(spark):
+    far = "nothing else in this table reads at all like this sentence does"
+    docs = odd_documents(spark, [(None, far), (None, "same text here"), (None, None)])
+    stay = [r["text"] for r in simhash.one_of_each(docs, passes=1).collect() if r["doc_id"] is None]
+    assert stay == [far]
+    ids = {r["doc_id"] for r in simhash.one_of_each(docs, passes=1).collect()}
+    assert ids == {None} | {r["doc_id"] for r in simhash.one_of_each(odd_documents(spark), passes=1).collect()}
