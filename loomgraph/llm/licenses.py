@@ -1,152 +1,161 @@
 """License scans by an exact set-similarity join, with DataFrame operations only.
 
-Lines of a text (long ones in overlapping pieces) are blocks; a license template is the word set of a common notice.
-A block meets a template if it holds at least ``threshold`` of the template's words. Template words are ordered by how
-many blocks of the corpus have them, rarest first. A block with the needed overlap must share one of the
-first words of the template (prefix filter), must have enough template words at all (length filter), and enough
-of them after the first shared one (positional filter); what is left is verified. The filters only save
-work: the result is that of comparing every block with every template.
+A license template is the word set of a common notice, short references and whole notices alike. The blocks that it is
+compared with are runs of words of a text, line ends or none: twice as long as the template or more (a power of
+two), each begun half a block after the last, so that a notice always lies whole in a block. A block meets a template if it
+holds at least ``threshold`` of the template's words.
+
+Template words are ordered by how often the corpus has them, rarest first. A block with the needed overlap must hold one
+of the first words of the template (prefix filter: only such words leave the scan, by a join with the templates'
+prefixes inside the scan's own stage), must have enough words at all (length filter), and enough template
+words after the first shared one (positional filter); what is left is verified, each block and template once. The
+filters only save work: the result is that of comparing every block with every template. Base phrases are found
+the same way, by their first word.
 
 What tasks get in whole are the templates and the ranks of their words, which are parameters of the query, not data.
+Two scans of the texts (counts, then search); what is shuffled is one small row a document and one a find.
 
 Defined results: a null text is empty; texts without words have no labels and score 0; every place of a base phrase
-counts, also across lines; rows that repeat an id repeat; an empty table gives no rows.
+counts, also across lines; a text of any length is one stream of words; rows that repeat an id repeat, each with the
+finds of its own text; a null id is an id; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shared_dir, written
+from loomgraph.llm.license_texts import TEMPLATES
 
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once capitals are small.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases whose places are counted, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Words of common license notices, by label.
-TEMPLATES = {
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
-    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "rights-reserved": ["all rights reserved"],
-}
 THRESHOLD = 0.8
-PIECE, STRIDE = 64, 32
+LEAST_BLOCK = 16
 
 
-def flat(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(t.split()))) for label, texts in templates.items() for t in texts]
+def flat(templates: dict[str, list[str]]) -> list[tuple[str, list[str], int]]:
+    """(label, distinct words, size of the blocks that it is compared with) of every template."""
+    out = []
+    for label, texts in templates.items():
+        for text in texts:
+            words = [w for w in re.split(GAP, text.lower()) if w]
+            out.append((label, sorted(set(words)), max(LEAST_BLOCK, 1 << (2 * len(words) - 1).bit_length())))
+    return out
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, GAP), lambda x: x != "")
+def _words(text: Column) -> Column:
+    """Words of a text in small letters; the first and the last may be empty.
 
+    The two capitals outside ASCII whose small form holds an ASCII letter are put aside, so that only A-Z becomes a-z."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    for odd in ("\u212a", "\u0130"):
+        text = F.replace(text, F.lit(odd), F.lit("Ω"))
+    return F.split(F.lower(text), GAP)
 
-def phrase_places(all_words: Column, phrase: str) -> Column:
-    """Word numbers at which a phrase's words stand one after the other."""
-    parts = phrase.split()
-    wanted = F.array(*map(F.lit, parts))
-    last = F.size(all_words) - len(parts)
-    none = F.array().cast("array<int>")
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(all_words, i + 1, len(parts)) == wanted)).otherwise(none)
 
-
-def scanned(docs: DataFrame, templates: dict[str, list[str]], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_words, places of each base phrase, and blocks with the template words that they hold. One scan."""
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, t in flat(templates) for w in t})))
-    low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), CAPITALS, SMALL)
-    lines = docs.select(F.col(id_col).alias("doc_id"), low.alias("low")).select("doc_id", "low", F.transform(F.split("low", "\n"), words).alias("lines"))
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - STRIDE - 1, F.lit(0)), F.lit(STRIDE)), lambda s: F.array_intersect(F.slice(x, s + 1, PIECE), vocabulary))
-    near = "|".join("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+".join(p.split()) for p in BASE)
-    flat_words = F.flatten("lines")
-    maybe = F.col("low").rlike(near)
-    return lines.select(
-        "doc_id",
-        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
-        *(F.when(maybe, phrase_places(flat_words, p)).alias(f"p{i}") for i, p in enumerate(BASE)),
-        F.filter(F.flatten(F.transform("lines", cut)), lambda x: F.size(x) > 0).alias("blocks"),
-    )
+def word_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
+    """How often the corpus has each word of a vocabulary (a parameter, so the driver gets no more rows than it has)."""
+    every = docs.select(F.explode_outer(_words(F.col(text_col))).alias("word"))
+    return {r["word"]: r["n"] for r in every.filter(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def matches(blocks: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """row, label, containment: blocks (columns row, hits) that meet a template, by prefix, length and positional filters."""
+def found(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (of the text), kind, n_words, place, label, containment: a row of kind 'text' for every document, and one for
+    every base phrase ('base') and every block that meets a template ('block')."""
     names = flat(templates)
-    counts = {r["w"]: r["n"] for r in blocks.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    order = sorted({w for _, t in names for w in t}, key=lambda w: (counts.get(w, 0), w))
+    counts = word_counts(docs, sorted({w for _, t, _ in names for w in t}), text_col)
+    order = sorted({w for _, t, _ in names for w in t}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    need = [math.ceil(threshold * len(t) - 1e-9) for _, t in names]
-    ranks = F.create_map(*(x for w, i in rank.items() for x in (F.lit(w), F.lit(i))))
-    sorted_hits = F.array_sort(F.transform("hits", lambda w: ranks[w]))
-    spark = blocks.sparkSession
-    rows = []
-    for k, ((label, t), c) in enumerate(zip(names, need, strict=True)):
-        own = sorted(rank[w] for w in t)
-        rows += [(own[j], j, k, label, own, c) for j in range(len(own) - c + 1)]
-    prefixes = spark.createDataFrame(rows, "token int, j int, template int, label string, own array<int>, need int")
-    least = min(need)
-    ordered = blocks.filter(F.size("hits") >= least).select("row", "block", sorted_hits.alias("have"))
-    first = ordered.select("row", "block", "have", F.posexplode(F.slice("have", 1, F.size("have") - least + 1)).alias("i", "token"))
-    pairs = first.join(F.broadcast(prefixes), "token")  # the templates' words, a parameter
-    m, b, c = F.size("own"), F.size("have"), F.col("need")
-    found = pairs.filter((b >= c) & (1 + F.least(b - F.col("i") - 1, m - F.col("j") - 1) >= c))
-    overlap = F.size(F.array_intersect("have", "own"))
-    return found.filter(overlap >= c).select("row", "block", "label", (overlap / m).alias("containment"))
+    # Words at which something may be found. The empty word leads every text and stands for the text itself.
+    wanted = [("", "text", None, None, None, None, None, None)]
+    for phrase, label in BASE.items():
+        parts = phrase.split()
+        wanted.append((parts[0], "base", label, parts, 0, len(parts), len(parts), 0))
+    for label, t, size in names:
+        own = sorted(t, key=rank.get)
+        need = math.ceil(threshold * len(own) - 1e-9)
+        wanted += [(own[j], "block", label, own, j, need, size, shift) for j in range(len(own) - need + 1) for shift in (0, 1)]
+    spark = docs.sparkSession
+    look_for = F.broadcast(spark.createDataFrame(wanted, "word string, kind string, label string, own array<string>, j int, need int, size int, shift int"))  # the templates, a parameter
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("key"), F.concat(F.array(F.lit("")), _words(F.col(text_col))).alias("w"))
+    lead = 1 + (F.element_at("w", 2) == "").cast("int")
+    n_words = F.greatest(F.size("w") - lead - (F.element_at("w", -1) == "").cast("int"), F.lit(0))
+    every = texts.select("doc_id", "key", "w", lead.alias("lead"), n_words.alias("n_words")).select("*", F.posexplode_outer("w").alias("pos", "word"))
+    hits = every.filter(F.col("word").isin(sorted({x[0] for x in wanted}))).join(look_for, "word")
+    place = F.col("pos") - F.col("lead")
+    half = F.col("size") / 2
+    start = ((F.floor(place / half) - F.col("shift")) * half).cast("int")
+    hits = hits.select("doc_id", "key", "w", "lead", "n_words", "pos", "word", "kind", "label", "own", "j", "need", "size", place.alias("place"), F.when(F.col("kind") == "base", place).otherwise(start).alias("start"))
+
+    run = F.slice("w", F.col("lead") + F.col("start") + 1, F.col("size"))
+    long_enough = F.least(F.col("size"), F.col("n_words") - F.col("start")) >= F.col("need")
+    first_of_block = F.array_position(run, F.col("word")) == F.col("place") - F.col("start") + 1
+    first_shared = F.size(F.array_intersect(F.slice("own", F.lit(1), F.col("j")), run)) == 0
+    is_text = (F.col("kind") == "text") & (F.col("pos") == 0)
+    is_base = (F.col("kind") == "base") & long_enough & (run == F.col("own"))
+    may_meet = (F.col("kind") == "block") & (F.col("start") >= 0) & long_enough & first_of_block & first_shared
+    kept = hits.filter(is_text | is_base | may_meet)
+
+    have = F.when(F.col("kind") == "block", F.array_intersect(F.array(*map(F.lit, order)), run))  # in rank order
+    held = kept.select("doc_id", "key", "kind", "n_words", "place", "label", "own", "j", "need", "word", have.alias("have"))
+    position = F.array_position("have", F.col("word"))
+    positional = 1 + F.least(F.size("have") - position, F.size("own") - F.col("j") - 1) >= F.col("need")
+    # With a function over arrays Spark leaves this step, which few rows reach, out of the code that it compiles for every word:
+    # with it that method is over the 8,000 bytes that the JVM compiles, and the whole scan slows down threefold.
+    overlap = F.size(F.filter("own", lambda x: F.array_contains("have", x)))
+    met = held.filter((F.col("kind") != "block") | (positional & (overlap >= F.col("need"))))
+    return met.select("doc_id", "key", "kind", F.col("n_words").cast("long").alias("n_words"), F.col("place").cast("long").alias("place"), "label", F.when(F.col("kind") == "block", overlap / F.size("own")).alias("containment"))
 
 
 def licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
-    path = shared_dir(docs.sparkSession)
-    read = written(scanned(docs, templates, id_col, text_col), path, "scanned")
-    labels = list(BASE.values())
-    none = F.array().cast("array<int>")
-    base = read.select("doc_id", "n_words", *(F.coalesce(f"p{i}", none).alias(f"p{i}") for i in range(len(labels))))
-    places = F.flatten(F.array(*(f"p{i}" for i in range(len(labels)))))
-    own = F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(x)) for i, x in enumerate(labels))), lambda x: x.isNotNull())
-    base = base.select("doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_sort(own).alias("own"))
-    blocks = read.select(F.col("doc_id").alias("row"), F.posexplode("blocks").alias("block", "hits"))
-    found = matches(blocks, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("row")), "left")
-    every = F.array_sort(F.array_union("own", F.coalesce("more", F.array().cast("array<string>"))))
-    return joined.select(
+    kind = lambda name, value: F.when(F.col("kind") == name, value)
+    copies = F.count_if(F.col("kind") == "text")
+    # Rows with the same id and text are one group: counted, searched alike, and dealt out again.
+    one = found(docs, templates, threshold, id_col, text_col).groupBy("doc_id", "key").agg(
+        copies.alias("copies"), F.max("n_words").alias("n_words"), (F.count_if(F.col("kind") == "base") / copies).cast("long").alias("n_base"),
+        F.min(kind("base", F.col("place"))).alias("first_word"), F.max(kind("base", F.col("place"))).alias("last_word"),
+        F.array_sort(F.collect_set(kind("base", F.col("label")))).alias("own"), F.array_sort(F.collect_set("label")).alias("every"), F.max("containment").alias("best"),
+    )
+    return one.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join("own", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.array_join("own", ",").alias("base_labels"), F.array_join("every", ",").alias("labels"),
         F.when(F.size("own") > 0, 1.0).otherwise(F.round(F.coalesce("best", F.lit(0.0)), 6)).alias("score"),
     )
 
 
 def _sql() -> str:
     quote = lambda w: "'" + w + "'"
-    template = ", ".join(f"('{label}', [{', '.join(map(quote, t))}], {math.ceil(THRESHOLD * len(t) - 1e-9)})" for label, t in flat(TEMPLATES))
+    small = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    template = ", ".join(f"('{label}', [{', '.join(map(quote, t))}], {math.ceil(THRESHOLD * len(t) - 1e-9)}, {size})" for label, t, size in flat(TEMPLATES))
     places = " UNION ALL ".join(
-        f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {len(p.split()) - 1}, 0))) AS i FROM hot) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
+        f"SELECT k, '{label}' AS label, i FROM (SELECT k, w, unnest(range(0, greatest(len(w) - {len(p.split()) - 1}, 0))) AS i FROM hot) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
         for p, label in BASE.items()
     )
     return rf"""
-WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}') AS t FROM documents),
-counted AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+WITH counted AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({small}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 hot AS (SELECT * FROM counted WHERE list_contains(w, 'license') OR list_contains(w, 'nc')),
 places AS ({places}),
-base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS own FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)),
-pieces AS (SELECT doc_id, list_distinct(w[s + 1:s + {PIECE}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {STRIDE}, 1), {STRIDE})) AS s FROM lines)),
-templates(label, words, need) AS (VALUES {template}),
-met AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS c FROM pieces, templates WHERE len(list_intersect(b, words)) >= need),
-method AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS best FROM met GROUP BY doc_id)
+base AS (SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS own FROM places GROUP BY k),
+templates(label, words, need, size) AS (VALUES {template}),
+sizes AS (SELECT DISTINCT size FROM templates),
+cut AS (SELECT k, w, size, unnest(range(0, greatest(len(w) - size // 2, 1), size // 2)) AS s FROM counted, sizes),
+blocks AS (SELECT k, size, list_distinct(w[s + 1:s + size]) AS b FROM cut),
+met AS (SELECT k, label, len(list_intersect(b, words)) / len(words) AS c FROM blocks JOIN templates USING (size) WHERE len(list_intersect(b, words)) >= need),
+method AS (SELECT k, list(DISTINCT label) AS more, max(c) AS best FROM met GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(coalesce(own, []), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels,
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(coalesce(best, 0)::DOUBLE, 6) END AS score
-FROM counted LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
+FROM counted LEFT JOIN base USING (k) LEFT JOIN method USING (k)
 """
 
 
