@@ -1,27 +1,24 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame operations only.
 
-Documents are counted into cells (source, language, topic). The cells' token weights are raked: for one
-dimension after the other they are multiplied so that its marginal meets the target, for a fixed number of
-rounds. A cell's factor, over the largest factor, is the probability of its documents; a hash of the id decides.
-So expected tokens are in the target proportions in every dimension, and no probability is cut off at 1.
+Documents are counted into cells (source, language, topic). The sample is to have ``retention`` of all tokens. The cells' token
+weights are raked: for one dimension after the other they are multiplied so that its marginal meets its target share of that
+budget, where a cell counts for the tokens it has at most; after the last round all are scaled to the budget again, so that what
+full cells could not take goes to the others. A cell's factor, 1 at most, is the probability of its documents; a hash of the id decides. Rare
+cells stay whole, the others share the rest in target proportions, and no single cell sets how much is kept.
+``marginals`` shows what targets were missed and by how much.
 
-Where that would keep less than the share ``retention`` of all tokens, because some cell is rare, the cells are raked to
-that budget instead, and what cells count for is at most all they have: rare cells stay whole, and the others share
-the rest of the budget in target proportions. The registered query has no such budget (its SQL defines it without).
-
-Rounds are windows over the cell table (one row a cell, whatever the corpus), not joins; after every ``ROUNDS_A_PLAN``
-rounds the cells are written, so that no plan holds more than that. The only work over documents is one scan, one aggregation with partial sums and one
-equi-join with the factors, which Spark may turn into a broadcast after it has measured their size.
+A round is three grouped sums (with partial sums in tasks) and equi-joins on the cell table, which is written after each. The only work
+over documents is one scan, one aggregation with partial sums and one equi-join with the factors, which Spark may turn into a
+broadcast after it has measured their size.
 
 Defined results: null dimensions are the value ''; texts without words have no tokens and the probability of
-their cell; a cell that no document with tokens has keeps factor 1; ids decide, so rows that repeat an id
-stay or go together, and a null id counts as ''; an empty table gives no rows.
+their cell; a cell whose dimensions have no tokens keeps its factor; texts of any length are counted whole; ids decide, so rows that repeat an id
+stay or go together, and a null id counts as ''; other columns are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import shared_dir, written
@@ -29,9 +26,8 @@ from loomgraph.llm.common import shared_dir, written
 BLANKS = " \t\n\x0b\f\r"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 12
-#: Rounds in one plan: the driver describes a plan again after each of its stages, so long plans cost it memory.
-ROUNDS_A_PLAN = 3
-#: Share of all tokens that the sample keeps at least.
+SCALE_STEPS = 8
+#: Share of all tokens that the sample is to have.
 RETENTION = 0.5
 #: Targets of the registered query: shares of tokens to this power. Below 1 it lifts what is rare.
 POWER = 0.7
@@ -67,42 +63,49 @@ def tempered(cells: DataFrame, dimension: str, power: float = POWER) -> DataFram
     return raised.select("value", (F.col("r") / total).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, path: str | None = None, budget: float | None = None) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = ROUNDS, path: str | None = None, tolerance: float = 0.0) -> DataFrame:
     """cells with a column ``factor``; targets: for each dimension value and share of tokens (values left out get share 0).
 
-    With a budget (tokens), factors are scaled to it, and a cell counts for the tokens it has at most."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0) if budget is None else budget
-    stays = F.col("factor") if budget is None else F.least(F.lit(1.0), F.col("factor"))
+    A cell counts for tokens * least(1, factor), so never for more than it has. Raking ends after ``rounds``, or, with a ``tolerance``,
+    once no marginal's residual (see ``marginals``) is larger."""
+    stays = F.col("tokens") * F.least(F.lit(1.0), F.col("factor"))
     now = cells.withColumn("factor", F.lit(1.0))
     for d, target in targets.items():
         now = now.join(target.select(F.col("value").alias(d), F.col("share").alias(f"__{d}")), d, "left").fillna(0.0, [f"__{d}"])
     path = path or shared_dir(cells.sparkSession)
+    now = written(now, path, "start")
     for k in range(rounds):
-        if k and k % ROUNDS_A_PLAN == 0:
-            now = written(now, path, f"round{k}")
         for d in targets:
-            have = F.sum(F.col("tokens") * stays).over(W.partitionBy(d))
-            now = now.withColumn("factor", F.when(have > 0, F.col("factor") * F.col(f"__{d}") * total / have).otherwise(F.col("factor")))
-    return now.select(*cells.columns, "factor")
+            have = now.groupBy(d).agg(F.sum(stays).alias("__have"))
+            step = F.when(F.col("__have") > 0, F.col("factor") * F.col(f"__{d}") * budget / F.col("__have")).otherwise(F.col("factor"))
+            now = now.join(have, d).withColumn("factor", step).drop("__have")
+        now = written(now, path, f"round{k}")
+        if tolerance and (marginals(now, targets, budget).agg(F.max(F.abs("residual"))).first()[0] or 0.0) < tolerance:
+            break
+    # What full cells could not take goes to the others: one number from the cell table a step, each nearer to the budget.
+    scale = 1.0
+    for _ in range(SCALE_STEPS):
+        kept = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * scale))).first()[0] or 0.0
+        scale *= budget / kept if kept > 0 else 1.0
+    return now.select(*cells.columns, (F.col("factor") * scale).alias("factor"))
 
 
-def scale_to(factors: DataFrame, budget: float) -> float:
-    """What factors are multiplied by, so that cells, each with all it has at most, keep the budget."""
-    scale = 1.0
-    for _ in range(40):
-        # Concave in the scale, so each step comes nearer from below.
-        kept = factors.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * scale))).first()[0] or 0.0
-        if kept <= 0 or kept >= budget * (1 - 1e-4):
-            break
-        scale *= budget / kept
-    return scale
+def marginals(factors: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFrame:
+    """dimension, value, target and expected tokens, and the residual (their difference over the budget): a target that raking could not
+    meet, since its cells have no more tokens, shows here."""
+    out = None
+    for d, target in targets.items():
+        have = factors.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor"))).alias("expected"))
+        one = have.join(target, "value", "full").select(F.lit(d).alias("dimension"), "value", (F.coalesce("share", F.lit(0.0)) * budget).alias("target"), F.coalesce("expected", F.lit(0.0)).alias("expected"))
+        out = one if out is None else out.union(one)
+    return out.withColumn("residual", (F.col("expected") - F.col("target")) / budget)
 
 
-def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic, retention: float | None = RETENTION) -> DataFrame:
+def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic, retention: float = RETENTION, tolerance: float = 0.0) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept of every document.
 
     targets: a function from the cell table to {dimension: (value, share)}; tempered shares where it is None.
-    retention: the share of all tokens that is kept at least; None sets the scale by the largest factor alone."""
+    retention: the share of all tokens that the sample is to have."""
     path = shared_dir(docs.sparkSession)
     text = F.col(text_col).cast("string")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -112,12 +115,9 @@ def chances(docs: DataFrame, targets=None, rounds: int = ROUNDS, id_col: str = "
     base = written(base, path, "counted")
     cells = written(base.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), path, "cells")
     targets = targets(cells) if targets else {d: tempered(cells, d) for d in DIMENSIONS}
-    factors = written(raked(cells, targets, rounds, path), path, "factors")
-    top, total, kept = factors.filter("tokens > 0").agg(F.max("factor"), F.sum("tokens"), F.sum(F.col("tokens") * F.col("factor"))).first()
-    if retention is not None and top and kept / top < retention * total:
-        factors = written(raked(cells, targets, rounds, f"{path}/budget", retention * total), path, "budgeted")
-        top = 1 / scale_to(factors, retention * total)
-    probability = F.least(F.lit(1.0), F.col("factor") / top) if top else F.lit(1.0)
+    budget = retention * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    factors = written(raked(cells, targets, budget, rounds, path, tolerance), path, "factors")
+    probability = F.least(F.lit(1.0), F.col("factor"))
     return base.join(factors.select(*DIMENSIONS, probability.alias("probability")), list(DIMENSIONS)).select(
         "doc_id", *DIMENSIONS, "n_tokens", F.round("probability", 9).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("kept")
     )
@@ -133,12 +133,16 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
 def _sql() -> str:
     steps, last = [], "start"
+    stays = "tokens * least(1.0, factor)"
     for k in range(ROUNDS):
         for d in DIMENSIONS:
             name = f"s{k}_{d}"
-            have = f"sum(tokens * factor) OVER (PARTITION BY {d})"
-            steps.append(f"{name} AS (SELECT * REPLACE (CASE WHEN {have} > 0 THEN factor * t_{d} * total / {have} ELSE factor END AS factor) FROM {last})")
+            have = f"sum({stays}) OVER (PARTITION BY {d})"
+            steps.append(f"{name} AS (SELECT * REPLACE (CASE WHEN {have} > 0 THEN factor * t_{d} * budget / {have} ELSE factor END AS factor) FROM {last})")
             last = name
+    for k in range(SCALE_STEPS):
+        steps.append(f"s{k} AS (SELECT * REPLACE (CASE WHEN sum({stays}) OVER () > 0 THEN factor * (budget / sum({stays}) OVER ()) ELSE factor END AS factor) FROM {last})")
+        last = f"s{k}"
     share = lambda d: f"t_{d} AS (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE, {POWER}) ELSE 0 END AS r FROM cells GROUP BY {d})"
     return rf"""
 WITH base AS (
@@ -150,11 +154,11 @@ WITH base AS (
 ), cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM base GROUP BY ALL),
 {", ".join(map(share, DIMENSIONS))},
 start AS (
-  SELECT cells.*, 1.0::DOUBLE AS factor, (sum(tokens) OVER ())::DOUBLE AS total,
+  SELECT cells.*, 1.0::DOUBLE AS factor, {RETENTION}::DOUBLE * (sum(tokens) OVER ())::DOUBLE AS budget,
     {", ".join(f"(t_{d}.r / (SELECT sum(r) FROM t_{d})) AS t_{d}" for d in DIMENSIONS)}
   FROM cells {" ".join(f"JOIN t_{d} USING ({d})" for d in DIMENSIONS)}
 ), {", ".join(steps)},
-chance AS (SELECT source, lang, topic, least(1.0, coalesce(factor / (SELECT max(factor) FROM {last} WHERE tokens > 0), 1.0)) AS p FROM {last})
+chance AS (SELECT source, lang, topic, least(1.0, factor) AS p FROM {last})
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 9) AS probability,
   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0) < p AS kept
 FROM base JOIN chance USING (source, lang, topic)
