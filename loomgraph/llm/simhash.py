@@ -11,7 +11,8 @@ disk for one pass is 2,081 * 10 / passes bytes a distinct fingerprint. A pass bu
 the part of a variant is a linear function of its bits.
 
 Defined results: null and wordless texts have fingerprint zero and are linked to each other (and to any
-fingerprint within reach) like any other; equal texts have equal fingerprints; an empty table gives no rows.
+fingerprint within reach) like any other; equal texts have equal fingerprints; texts of any length are read whole; columns
+other than id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import buffers, drop_shuffles, id_and_text, shared_dir, sliced, written
 from loomgraph.llm.components import components
-from loomgraph.llm.words import U64, Words
+from loomgraph.llm.words import FIRST, U64, Words, _mixed
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 BITS, HALF = 64, 2
+#: Word fingerprints of ``one_of_each``: at a shingle similarity of 0.8 one lane in three links over 0.9 of the pairs.
+LANES = 3
 #: Variants that one task sorts at a time.
 BUCKET_VARIANTS = 1 << 19
+#: Variants of one pass, while 8 passes will do.
+PASS_VARIANTS = 1 << 25
 #: Fingerprints that are expanded at a time.
 EXPANDED = 512
 
@@ -139,12 +144,13 @@ def links_met(variants: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.n
     return least[near], f[near]
 
 
-def links(fps: DataFrame, path: str, passes: int = 8) -> DataFrame:
+def links(fps: DataFrame, path: str, passes: int | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints within distance 4 of each other; fps: distinct longs in column fp.
 
-    passes (1, 2, 4, 8 or 16) trades disk for a few more small jobs; results don't depend on it."""
+    passes (1, 2, 4, 8 or 16; by default as many as PASS_VARIANTS asks for, 8 at most) trades disk for a few more small jobs; results don't depend on it."""
     spark = fps.sparkSession
     n = fps.count()
+    passes = passes or next((p for p in (1, 2, 4) if n * len(MASKS) <= p * PASS_VARIANTS), 8)
     buckets = max(1, -(-n * len(MASKS) // (passes * BUCKET_VARIANTS)))
     groups = [np.flatnonzero(_part(MASKS, passes) == g).astype(np.uint16) for g in range(passes)]
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // (1 << 15)))
@@ -190,25 +196,88 @@ def links(fps: DataFrame, path: str, passes: int = 8) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, passes: int = 8) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id within reach over links of distance 4 or less."""
+def word_fingerprints(words: Words, lanes: int, seed: int) -> np.ndarray:
+    """(texts, lanes): SimHashes of the set of lower-cased words of each text, each lane from other bits of a word's XXH64."""
+    out = np.zeros((len(words.counts), lanes), U64)
+    if not len(words):
+        return out
+    low = LOWER[words.data]
+    key = FIRST.of_bytes(low, words.starts, words.ends)
+    distinct, at, which = np.unique(key, return_index=True, return_inverse=True)
+    order = np.unique(words.text.astype(np.int64) * len(distinct) + which)  # each word once a text
+    text, word = np.divmod(order, len(distinct))
+    raw, starts, ends = low.tobytes(), words.starts[at].tolist(), words.ends[at].tolist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(raw[i:j], seed) for i, j in zip(starts, ends, strict=True)), U64, len(at))
+    count = np.bincount(text, minlength=len(out))
+    some = np.flatnonzero(count)
+    bounds = np.searchsorted(text, some)
+    for k in range(lanes):
+        bits = np.unpackbits(lane_of(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[word]
+        ones = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
+        out[some, k] = np.packbits(2 * ones > count[some, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def lane_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Independent 64 bits for each lane."""
+    return _mixed(hashes + U64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1), 0xBF58476D1CE4E5B9)
+
+
+def word_set_links(docs: DataFrame, path: str, id_col: str, text_col: str, shingle: int, seed: int, lanes: int, within: int, passes: int | None) -> DataFrame:
+    """(a, b): links between shingle fingerprints of texts that have nearly the same words.
+
+    An edited word changes ``shingle`` shingles but one word: texts that share four fifths of their shingles are 8 to 10 bits
+    apart by shingles and about 4 by words, so ball hashing reaches them there, each lane about three of five. A link
+    counts where the shingle fingerprints are within ``within`` bits, too; those of unrelated texts are about 32 apart."""
+    base = id_and_text(docs, id_col, text_col)
+    names = [f"w{k}" for k in range(lanes)]
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch, 1):
+                data, offsets = buffers(part.column(1))
+                own = word_fingerprints(Words(data, offsets), lanes, seed + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fingerprints_of(data, offsets, shingle, seed), *np.ascontiguousarray(own.T))], names=["fp", *names])
+
+    kinds = ", ".join(f"{c} long" for c in ("fp", *names))
+    prints = written(base.mapInArrow(run, kinds).distinct(), path, "prints")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= within
+    out = None
+    for c in names:
+        one = written(prints.groupBy(F.col(c).alias("w")).agg(F.min("fp").alias("least")), f"{path}/{c}", "least")
+        same = prints.select("fp", F.col(c).alias("w")).join(one, "w").filter((F.col("fp") != F.col("least")) & near("least", "fp")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+        met = links(one.select(F.col("w").alias("fp")), f"{path}/{c}", passes)
+        ends = met.join(one.select(F.col("w").alias("a"), F.col("least").alias("x")), "a").join(one.select(F.col("w").alias("b"), F.col("least").alias("y")), "b")
+        across = ends.filter((F.col("x") != F.col("y")) & near("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        both = same.union(across)
+        out = both if out is None else out.union(both)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, passes: int | None = None, lanes: int = 0, within: int = 16) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id within reach over links of distance 4 or less.
+
+    With lanes, so many fingerprints of the words of each text are linked as well (see ``word_set_links``)."""
     spark = docs.sparkSession
     drop_shuffles(spark)
     path = shared_dir(spark)
     all_fps = written(fingerprints(docs, id_col, text_col, shingle, seed), path, "fingerprints")
     distinct = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("least")), path, "distinct")
-    found = components(links(distinct.select("fp"), path, passes), path)
+    edges = links(distinct.select("fp"), path, passes)
+    if lanes:
+        edges = edges.union(word_set_links(docs, f"{path}/words", id_col, text_col, shingle, seed, lanes, within, passes))
+    found = components(edges, path)
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(member.join(least, "root").select("fp", "component_id"), path, "classes")
     return all_fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **settings) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = LANES, **settings) -> DataFrame:
     """The documents with the smallest id of their component, with their columns as they are. Of rows that repeat an id, each stays.
 
     A row without an id stays where no document with an id is in its component; such rows are found again by their text."""
-    found = near_duplicates(docs, id_col, text_col, shingle, **settings)
+    found = near_duplicates(docs, id_col, text_col, shingle, lanes=lanes, **settings)
     stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     free = found.filter("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
     without = docs.filter(F.col(id_col).isNull()).withColumn("__text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
