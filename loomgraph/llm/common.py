@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.tables import shared_dir, table, written
 
-__all__ = ["SLICE_BYTES", "buffers", "drop_shuffles", "id_and_text", "shared_dir", "sliced", "small_batches", "table", "written"]
+__all__ = ["SLICE_BYTES", "buffers", "drop_shuffles", "free_name", "id_and_text", "shared_dir", "sliced", "small_batches", "table", "written"]
 
 #: Bytes of text that one task turns into numpy arrays at a time.
 SLICE_BYTES = 1 << 20
@@ -27,6 +27,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that a text operator needs; a null text counts as empty."""
     return small_batches(docs).select(

@@ -7,9 +7,14 @@
    words of the windows that the anchor stands for are cut out as a segment.
 3. Confirmation. Window hashes of distinct segments are aggregated: a window is confirmed if two
    documents have it, and its first document is kept.
-4. Automata. Anchor phrases of confirmed windows are dealt over shards; every shard compiles its phrases with
-   pyahocorasick and streams the segments that were dealt to it. Each occurrence of a phrase is found as text; the
-   windows around it that are confirmed and start in an earlier document mark their words.
+4. Automata. The phrases of anchors of confirmed windows (all phrases, should two have one hash) are dealt over shards, as
+   many as phrases ask for; every shard compiles its phrases with pyahocorasick and streams what was dealt to it: the
+   words around every recurring anchor of every document. Each occurrence of a phrase is found as text; the windows
+   around it that are confirmed and start in an earlier document mark their words.
+
+A document is streamed as the neighbourhoods of its recurring anchors, not whole: a window that another document has holds
+such an anchor, so nothing else can match, and every word passes a bounded number of shards. Whole documents past every
+shard would cost shards times corpus, which grows with the square of the input.
 
 Phrases of frequent anchors are copied to as many salts as their segments need, so that no shard gets all
 segments of a common passage; a shard holds phrases and confirmed windows only, segments stream by. Keys are
@@ -17,7 +22,8 @@ two independent 64-bit hashes (anchor and window), and phrases are compared as t
 
 Defined results: null and wordless texts have no words; texts under 50 words lose none; windows are judged on the
 input; a window that repeats only within its document stays; doc_id is the key, and rows that repeat one must
-have equal texts. An empty table gives no rows.
+have equal texts. Texts of any length are searched whole; other columns keep their values, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +36,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import buffers, drop_shuffles, id_and_text, shared_dir, sliced, written
+from loomgraph.llm.common import buffers, drop_shuffles, free_name, id_and_text, shared_dir, sliced, written
 from loomgraph.llm.words import FIRST, SECOND, U64, Words, covered
 
 WINDOW, GRAM = 50, 8
 #: Segments of one anchor that one salt takes.
-SEGMENTS_A_SALT = 2000
+SEGMENTS_A_SALT = 256
+#: Phrases that one shard's automaton holds, about.
+PHRASES_A_SHARD = 50_000
 
 
 def joined_words(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -175,7 +184,7 @@ class Shard:
         """Segments in, (document, first word, word after the last) of repeated passages out."""
         words = Words(*buffers(text))
         hits_row, hits_h, hits_at = [], [], []
-        if len(self.h):
+        if len(self.h) and len(self.automaton):
             for row, segment in enumerate(text.to_pylist()):
                 for end, (h, size) in self.automaton.iter(f" {segment} "):
                     hits_row.append(row)
@@ -212,7 +221,7 @@ def located(confirmed: DataFrame, phrases: DataFrame, segs: DataFrame) -> DataFr
     counts = phrases.select("h", salts.alias("salts"))
     every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     rows = (
-        phrases.select("h", salts.alias("salts"), "phrase").select("h", every.alias("salt"), F.lit(0).alias("kind"), none("long").alias("v"), none("long").alias("doc"), none("int").alias("lo"), F.col("phrase").alias("words"))
+        phrases.select("h", salts.alias("salts"), F.explode("phrases").alias("phrase")).select("h", every.alias("salt"), F.lit(0).alias("kind"), none("long").alias("v"), none("long").alias("doc"), none("int").alias("lo"), F.col("phrase").alias("words"))
         .union(confirmed.join(counts, "h").select("h", every, F.lit(1), "w", "first", none("int"), none("string")))
         .union(segs.select("h", F.pmod(F.xxhash64("doc_id"), salts).cast("int"), F.lit(2), none("long"), "doc_id", "lo", "words"))
     )
@@ -231,7 +240,10 @@ def located(confirmed: DataFrame, phrases: DataFrame, segs: DataFrame) -> DataFr
                     d, a, b = shard.spans(doc[own], lo[own].astype(np.int64), part.column(5).filter(pa.array(own)))
                     yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], names=["doc_id", "a", "b"])
 
-    dealt = rows.repartition("h", "salt").sortWithinPartitions("kind").select("h", "kind", "v", "doc", "lo", "words")
+    # More shards than Spark's setting only where phrases ask for them.
+    total = phrases.agg(F.sum(salts)).first()[0] or 0
+    shards = max(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PHRASES_A_SHARD))
+    dealt = rows.repartition(shards, "h", "salt").sortWithinPartitions("kind").select("h", "kind", "v", "doc", "lo", "words")
     return dealt.mapInArrow(run, "doc_id long, a long, b long")
 
 
@@ -260,7 +272,7 @@ class Repeats:
         confirmed = windows.groupBy("h", "w").agg(F.min("x").alias("first"), F.max("y").alias("last")).filter("first < last").select("h", "w", "first")
         confirmed = written(confirmed, path, "confirmed")
         used = written(confirmed.select("h").distinct(), path, "used")
-        phrases = segs.groupBy("h").agg(F.min("phrase").alias("phrase"), F.max("n").alias("n")).join(used, "h", "left_semi")
+        phrases = segs.groupBy("h").agg(F.collect_set("phrase").alias("phrases"), F.max("n").alias("n")).join(used, "h", "left_semi")
         ranges = located(confirmed, written(phrases, path, "phrases"), segs.join(used, "h", "left_semi"))
         self.ranges = written(ranges, path, "ranges")
         self.by_document = self.ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
@@ -300,20 +312,21 @@ class Repeats:
         """The documents without repeated passages: changed texts are the words that stay, joined by one space;
         unchanged texts stay as they are; documents of which no word stays go. n_chars, where there is one, follows."""
         names, text_col = self.docs.columns, self.text_col
-        key = self.docs[self.id_col].cast("long")
-        whole = self.sketch.filter(F.col("n_words") >= WINDOW).select("doc_id").join(self.firsts, "doc_id", "left_anti").distinct()
-        left = self.docs.withColumn("__id", key).join(whole.withColumnRenamed("doc_id", "__id"), "__id", "left_anti")
-        left = left.join(self.by_document.withColumnRenamed("doc_id", "__id"), "__id", "left")
-        same = left.filter(F.col("ranges").isNull()).select(*names)
+        own, found, new_text = (free_name(x, names) for x in ("own_id", "own_ranges", "new_text"))
+        whole = self.sketch.filter(F.col("n_words") >= WINDOW).select("doc_id").join(self.firsts, "doc_id", "left_anti").select(F.col("doc_id").alias(own)).distinct()
+        left = self.docs.withColumn(own, F.col(self.id_col).cast("long")).join(whole, own, "left_anti")
+        left = left.join(self.by_document.select(F.col("doc_id").alias(own), F.col("ranges").alias(found)), own, "left")
+        same = left.filter(F.col(found).isNull()).select(*(F.col(f"`{c}`") for c in names))
 
         def make(part, words, gone):
             kept = kept_texts(words, ~gone)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), *part.columns[2:]], names=["__text", *names])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), *part.columns[2:]], names=[new_text, *names])
 
-        schema = "__text string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.docs.schema)
-        cut = self._cut(left.filter(F.col("ranges").isNotNull()).select(text_col, "ranges", *names), schema, make).filter("__text <> ''")
-        new = {text_col: F.col("__text"), **({"n_chars": F.length("__text").cast(self.docs.schema["n_chars"].dataType)} if "n_chars" in names else {})}
-        return same.union(cut.select(*(new.get(c, F.col(c)).alias(c) for c in names)))
+        schema = T.StructType([T.StructField(new_text, T.StringType()), *self.docs.schema.fields])
+        changed = left.filter(F.col(found).isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(found), *(F.col(f"`{c}`") for c in names))
+        cut = self._cut(changed, schema, make).filter(F.col(new_text) != "")
+        new = {text_col: F.col(new_text), **({"n_chars": F.length(new_text).cast(self.docs.schema["n_chars"].dataType)} if "n_chars" in names else {})}
+        return same.union(cut.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in names)))
 
 
 def kept_texts(words: Words, left: np.ndarray) -> list[tuple[bytes, int]]:

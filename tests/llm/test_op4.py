@@ -2,8 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from loomgraph.llm import phrases
+from loomgraph.llm.common import buffers
 from loomgraph.llm.phrases import Repeats
 from loomgraph.llm.queries import QUERIES
+from loomgraph.llm.words import SECOND, Words
 from tests.llm.helpers import ODD, odd_documents, rows, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +76,33 @@ def test_empty_table(spark):
     assert Repeats(odd_documents(spark).limit(0)).report().count() == 0
 
 
+def test_automata_find_the_passages(spark, monkeypatch):
+    """With empty automata nothing is found: places come from them, not from the anchors."""
+    docs = awkward()
+    table = odd_documents(spark, list(docs.items()))
+    words = WORD.findall(docs[222])
+    segment = pa.array([" ".join(words[:60])])
+    shard = phrases.Shard()
+    h = np.array([7], np.int64)
+    own = Words(*buffers(segment))
+    start = np.array([3])
+    w = SECOND.of_words(own.hashes(SECOND), start, start + 50).view(np.int64)
+    shard.rows.append((h, w, np.array([1], np.int64)))
+    assert len(shard.compiled().spans(np.array([5]), np.array([0]), segment)[0]) == 0
+    shard = phrases.Shard()
+    shard.rows.append((h, w, np.array([1], np.int64)))
+    shard.phrases[" ".join(words[20:28])] = 7
+    assert [x.tolist() for x in shard.compiled().spans(np.array([5]), np.array([0]), segment)] == [[5], [3], [53]]
+    assert Repeats(table).ranges.count() > 30
+
+
+def test_clashing_columns(spark):
+    docs = [(i, f"{'a b c d e f g h i j ' * 6}{i}", i, "x", 2.0) for i in range(3)]
+    out = Repeats(spark.createDataFrame(docs, "doc_id long, text string, ranges int, own_id string, `new.text` double")).documents()
+    assert out.columns == ["doc_id", "text", "ranges", "own_id", "new.text"]
+    assert sorted((r[0], r[2], r[3], r[4]) for r in out.collect()) == [(0, 0, "x", 2.0), (1, 1, "x", 2.0), (2, 2, "x", 2.0)]
+
+
 def test_documents_lose_what_the_report_says(spark):
     docs = awkward()
     table = odd_documents(spark, list(docs.items()))
