@@ -312,7 +312,7 @@ class Repeats:
         """The documents without repeated passages: changed texts are the words that stay, joined by one space;
         unchanged texts stay as they are; documents of which no word stays go. n_chars, where there is one, follows."""
         names, text_col = self.docs.columns, self.text_col
-        own, found, new_text = (free_name(x, names) for x in ("own_id", "own_ranges", "new_text"))
+        own, found, old_text, new_text = (free_name(x, names) for x in ("own_id", "own_ranges", "old_text", "new_text"))
         whole = self.sketch.filter(F.col("n_words") >= WINDOW).select("doc_id").join(self.firsts, "doc_id", "left_anti").select(F.col("doc_id").alias(own)).distinct()
         left = self.docs.withColumn(own, F.col(self.id_col).cast("long")).join(whole, own, "left_anti")
         left = left.join(self.by_document.select(F.col("doc_id").alias(own), F.col("ranges").alias(found)), own, "left")
@@ -323,7 +323,7 @@ class Repeats:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), *part.columns[2:]], names=[new_text, *names])
 
         schema = T.StructType([T.StructField(new_text, T.StringType()), *self.docs.schema.fields])
-        changed = left.filter(F.col(found).isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(found), *(F.col(f"`{c}`") for c in names))
+        changed = left.filter(F.col(found).isNotNull()).select(F.col(f"`{text_col}`").alias(old_text), F.col(found), *(F.col(f"`{c}`") for c in names))
         cut = self._cut(changed, schema, make).filter(F.col(new_text) != "")
         new = {text_col: F.col(new_text), **({"n_chars": F.length(new_text).cast(self.docs.schema["n_chars"].dataType)} if "n_chars" in names else {})}
         return same.union(cut.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in names)))

@@ -98,8 +98,8 @@ def test_automata_find_the_passages(spark, monkeypatch):
 
 def test_clashing_columns(spark):
     docs = [(i, f"{'a b c d e f g h i j ' * 6}{i}", i, "x", 2.0) for i in range(3)]
-    out = Repeats(spark.createDataFrame(docs, "doc_id long, text string, ranges int, own_id string, `new.text` double")).documents()
-    assert out.columns == ["doc_id", "text", "ranges", "own_id", "new.text"]
+    out = Repeats(spark.createDataFrame(docs, "doc_id long, text string, ranges int, own_id string, new_text double")).documents()
+    assert out.columns == ["doc_id", "text", "ranges", "own_id", "new_text"]
     assert sorted((r[0], r[2], r[3], r[4]) for r in out.collect()) == [(0, 0, "x", 2.0), (1, 1, "x", 2.0), (2, 2, "x", 2.0)]
 
 
