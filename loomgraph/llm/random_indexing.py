@@ -1,17 +1,21 @@
 """Quality scores from random-indexing word vectors, pooled per document, and a two-layer network.
 
 Every token has a sparse random index vector that follows from its hash. The vector of a token is the sum of the
-index vectors of its neighbours in the labelled sample, so tokens of like company get like vectors. Each word gives
+index vectors of its neighbours in all documents, labelled or not, so tokens of like company get like vectors. Each word gives
 two tokens: itself, and its shape (letters, capitals, digits and punctuation in order, runs collapsed, and whether
-it repeats the word before), so that words never seen still have a known vector. A document is the mean of its word
-vectors, the mean of its shape vectors, and two lengths. The network is trained in numpy on the labelled sample; a
-temperature, fitted on labelled rows that the network did not see, calibrates its probabilities.
+it repeats the word before), so that words met once still have a known vector. Vectors are kept by the first bits of a
+token's hash: no token is left out, rare ones may share a place, and the table has the same size for any corpus. Tasks add
+up what they read in one such table each, in integers, so that sums do not depend on the order in which tasks end.
 
-Bounds: at most ``most`` labelled documents of each class and ``vocabulary`` tokens (parameters); what the driver
-gets and what tasks are sent is bounded by them.
+A document is the mean of its word vectors, the mean of its shape vectors, and two lengths. The network is trained in numpy on
+a labelled sample; a temperature, fitted on labelled rows that the network did not see, calibrates its probabilities.
 
-Defined results: a text without words has the zero vector and a score like any other; without labelled rows of both
-classes all scores are 0.5; labels, language, source and id are no inputs of a score.
+Bounds: at most ``most`` labelled documents of each class train the network (parameter), and the table has 2 ** PLACES
+vectors (25 MB), which is what the driver gets and tasks are sent.
+
+Defined results: a text without words has the zero vector and a score like any other; texts of any length are read whole; without
+labelled rows of both classes all scores are 0.5; columns of documents other than id and text are not read; repeated ids each have a row;
+an empty table gives no rows; labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import buffers, id_and_text, sliced
 from loomgraph.llm.labelled import fold, sampled, sigmoid
-from loomgraph.llm.words import FIRST, SECOND, U64, Lookup, Words
+from loomgraph.llm.words import FIRST, SECOND, U64, Words
 
 SIZE, NONZERO, REACH = 48, 4, 2
+#: Bits of a token's hash that give its row among the vectors.
+PLACES = 17
 FEATURES = 2 * SIZE + 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -53,38 +59,42 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """(n, SIZE) ternary vectors: NONZERO places and signs from the bits of the hash."""
-    out = np.zeros((len(hashes), SIZE), np.float32)
+    """(n, SIZE) small integers: NONZERO places and signs from the bits of the hash."""
+    out = np.zeros((len(hashes), SIZE), np.int8)
     rows = np.arange(len(hashes))
     for k in range(NONZERO):
         bits = hashes >> U64(14 * k)
-        np.add.at(out, (rows, (bits & U64(0x1FFF)).astype(np.int64) % SIZE), np.where(bits & U64(0x2000), np.float32(1), np.float32(-1)))
+        np.add.at(out, (rows, (bits & U64(0x1FFF)).astype(np.int64) % SIZE), np.where(bits & U64(0x2000), np.int8(1), np.int8(-1)))
     return out
 
 
-def company(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, how often they occur, and the sums of their neighbours' index vectors."""
-    distinct, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    index = index_vectors(distinct)
-    sums = np.zeros((len(distinct), SIZE), np.float32)
+def place_of(hashes: np.ndarray) -> np.ndarray:
+    """Row of a token in the table of vectors."""
+    return (hashes * U64(0x9E3779B97F4A7C15) >> U64(64 - PLACES)).astype(np.int64)
+
+
+def add_company(table: np.ndarray, words: Words, hashes: np.ndarray) -> None:
+    """Add to each token's row the index vectors of its neighbours, up to REACH words away in the same text."""
+    if not len(hashes):
+        return
+    distinct, at = np.unique(hashes, return_inverse=True)
+    index = index_vectors(distinct)[at]
+    near = np.zeros_like(index)
     for step in range(1, REACH + 1):
-        if len(hashes) <= step:
-            break
-        near = np.flatnonzero(words.text[step:] == words.text[:-step])
-        a, b = at[near], at[near + step]
-        for x, y in ((a, b), (b, a)):
-            order = np.argsort(x, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1]))) if len(x) else np.zeros(0, np.int64)
-            if len(first):
-                sums[x[order][first]] += np.add.reduceat(index[y[order]], first, axis=0)
-    return distinct, n, sums
+        if len(hashes) > step:
+            same = (words.text[step:] == words.text[:-step]).astype(np.int8)[:, None]
+            near[step:] += index[:-step] * same
+            near[:-step] += index[step:] * same
+    place = place_of(hashes)
+    order = np.argsort(place, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1])))
+    table[place[order][first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
 
 
 @dataclass
 class Vectors:
-    """Unit vectors of the kept tokens, row 0 for strangers."""
+    """Unit vectors by place."""
 
-    lookup: Lookup
     rows: np.ndarray
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,8 +105,7 @@ class Vectors:
         some = np.flatnonzero(words.counts)
         for k, hashes in enumerate((word, shape)):
             if len(some):
-                rows = self.rows[self.lookup(hashes) + 1]
-                out[some, k * SIZE : (k + 1) * SIZE] = np.add.reduceat(rows, words.bounds[some], axis=0)
+                out[some, k * SIZE : (k + 1) * SIZE] = np.add.reduceat(self.rows[place_of(hashes)], words.bounds[some], axis=0)
         out[:, : 2 * SIZE] /= n
         out[:, -2] = np.log1p(words.counts) / 8
         out[:, -1] = np.log1p(np.diff(offsets) / n[:, 0]) / 4
@@ -153,34 +162,41 @@ def calibrated(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def token_vectors(texts: DataFrame, vocabulary: int) -> Vectors:
-    """Vectors of the most frequent tokens of the sample: partial sums in tasks, added up by token in groups of tokens."""
+def token_vectors(texts: DataFrame) -> Vectors:
+    """Vectors of all tokens of all texts: one table of sums a task, added up part by part."""
+    parts, size = 64, (1 << PLACES) // 64
 
     def run(batches):
+        table = np.zeros((1 << PLACES, SIZE), np.int64)
         for batch in batches:
             for part in sliced(batch, 0):
                 words, word, shape = tokens(*buffers(part.column(0)))
                 for hashes in (word, shape):
-                    t, n, sums = company(words, hashes)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in sums], pa.binary())], names=["token", "n", "sums"])
-
-    def add(group: pa.Table) -> pa.Table:
-        distinct, at = np.unique(group["token"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(distinct), SIZE), np.float32)
-        np.add.at(sums, at, np.frombuffer(b"".join(group["sums"].to_pylist()), np.float32).reshape(-1, SIZE))
-        return pa.table({"token": distinct, "n": np.bincount(at, weights=group["n"].to_numpy(), minlength=len(distinct)).astype(np.int64), "sums": pa.array([x.tobytes() for x in sums], pa.binary())})
-
-    rows = texts.select("text").mapInArrow(run, "token long, n long, sums binary")
-    rows = rows.withColumn("g", F.pmod("token", F.lit(64))).groupBy("g").applyInArrow(add, "token long, n long, sums binary")
-    got = rows.filter("n >= 3").orderBy(F.desc("n"), "token").limit(vocabulary).toArrow()
-    keys = got["token"].to_numpy().view(U64)
-    sums = np.frombuffer(b"".join(got["sums"].to_pylist()), np.float32).reshape(-1, SIZE)
-    order = np.argsort(keys)
-    unit = sums[order] / np.maximum(np.linalg.norm(sums[order], axis=1, keepdims=True), 1e-6)
-    return Vectors(Lookup(keys[order]), np.concatenate((np.zeros((1, SIZE), np.float32), unit)))
-
-
-def quality(docs: DataFrame, labels: DataFrame, most: int = 2000, vocabulary: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
+                    add_company(table, words, hashes)
+        for g in range(parts):
+            own = table[g * size : (g + 1) * size]
+            if own.any():
+                small = next(t for t in (np.int16, np.int32, np.int64) if np.abs(own).max() <= np.iinfo(t).max)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([np.dtype(small).itemsize], pa.int32()), pa.array([own.astype(small).tobytes()], pa.binary())], names=["g", "width", "sums"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, width, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(g, np.zeros((size, SIZE), np.int64))
+                sums[g] += np.frombuffer(raw, f"<i{width}").reshape(size, SIZE)
+        for g, x in sums.items():
+            unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([unit.tobytes()], pa.binary())], names=["g", "rows"])
+
+    summed = texts.select("text").mapInArrow(run, "g int, width int, sums binary").repartition("g").mapInArrow(add, "g int, rows binary")
+    rows = np.zeros((1 << PLACES, SIZE), np.float32)
+    for r in summed.toLocalIterator():
+        rows[r["g"] * size : (r["g"] + 1) * size] = np.frombuffer(r["rows"], np.float32).reshape(size, SIZE)
+    return Vectors(rows)
+
+
+def quality(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
     base = id_and_text(docs, id_col, text_col)
@@ -191,7 +207,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 2000, vocabulary: in
         return finish(base.select("doc_id", F.lit(0.5).alias("score")))
     # 2 * most rows at most.
     texts = base.join(F.broadcast(spark.createDataFrame(chosen)), "doc_id").select("text", "y", "fold")
-    vectors = token_vectors(texts.filter("fold <> 4"), vocabulary)
+    vectors = token_vectors(base)
     sent = spark.sparkContext.broadcast(vectors)
 
     def pool(batches):

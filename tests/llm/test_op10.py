@@ -1,8 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
 from loomgraph.llm import random_indexing as ri
+from loomgraph.llm.common import buffers
 from loomgraph.llm.queries import QUERIES
 from tests.llm.helpers import ODD, odd_documents, rows, texts
 
@@ -45,20 +48,41 @@ def test_odd_rows_and_missing_labels(spark):
     assert ri.quality(table.limit(0), frame.limit(0)).count() == 0
 
 
-def test_company_equals_a_plain_loop():
-    import pyarrow as pa
-
-    from loomgraph.llm.common import buffers
-
-    words, word, _ = ri.tokens(*buffers(pa.array(["a b c a", "", "b a"])))
-    distinct, n, sums = ri.company(words, word)
-    index = dict(zip(distinct.tolist(), ri.index_vectors(distinct), strict=True))
-    want = {x: np.zeros(ri.SIZE) for x in index}
-    for i in range(len(word)):
-        for j in range(len(word)):
-            if i != j and abs(i - j) <= ri.REACH and words.text[i] == words.text[j]:
-                want[int(word[i])] += index[int(word[j])]
-    assert all(np.array_equal(s, want[int(x)]) for x, s in zip(distinct, sums, strict=True)) and n.sum() == 6
+def plain_vectors(all_texts):
+    """Unit vectors by place, by plain loops over every text."""
+    table = np.zeros((1 << ri.PLACES, ri.SIZE))
+    for text in all_texts:
+        words, word, shape = ri.tokens(*buffers(pa.array([text or ""])))
+        for hashes in (word, shape):
+            index, place = ri.index_vectors(hashes), ri.place_of(hashes)
+            for i in range(len(hashes)):
+                for j in range(max(0, i - ri.REACH), min(len(hashes), i + ri.REACH + 1)):
+                    if i != j:
+                        table[place[i]] += index[j]
+    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+
+
+def test_vectors_and_pooling_equal_plain_loops(spark):
+    table = odd_documents(spark, [(100 + i, t) for i, t in corpus(40)[0]]).repartition(7)
+    all_texts = [r["text"] for r in table.collect()]
+    vectors = ri.token_vectors(table)
+    rows_ = plain_vectors(all_texts)
+    assert np.array_equal(vectors.rows, rows_)
+    got = vectors.pooled(*buffers(pa.array([t or "" for t in all_texts])))
+    for text, x in zip(all_texts, got, strict=True):
+        _, word, shape = ri.tokens(*buffers(pa.array([text or ""])))
+        n = max(len(word), 1)
+        want = [*sum(rows_[ri.place_of(word)], np.zeros(ri.SIZE)) / n, *sum(rows_[ri.place_of(shape)], np.zeros(ri.SIZE)) / n, np.log1p(len(word)) / 8, np.log1p(len((text or "").encode()) / n) / 4]
+        assert np.allclose(x, want, atol=1e-4)
+
+
+def test_scores_are_reproducible_and_held_out_rows_are_ranked(spark):
+    sf = "/root/testdata/sf0.01"
+    runs = [{r["doc_id"]: (r["score"], r["held_out"]) for r in QUERIES["op10_random_indexing"](spark, sf).collect()} for _ in range(2)]
+    assert runs[0] == runs[1]
+    y = dict(duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet' where quality is not null").fetchall())
+    good, bad = ([s for i, (s, held) in runs[0].items() if held and y.get(i) == k] for k in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.9
 
 
 def test_temperature_lowers_loss():
