@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import buffers, drop_shuffles, id_and_text, shared_dir, sliced, written
+from loomgraph.llm.common import SLICE_BYTES, buffers, drop_shuffles, id_and_text, shared_dir, sliced, written
 from loomgraph.llm.components import components
 from loomgraph.llm.words import FIRST, U64, Words, _mixed
 
@@ -36,11 +36,11 @@ BITS, HALF = 64, 2
 #: Word fingerprints of ``one_of_each``: at a shingle similarity of 0.8 one lane in three links over 0.9 of the pairs.
 LANES = 3
 #: Variants that one task sorts at a time.
-BUCKET_VARIANTS = 1 << 19
+BUCKET_VARIANTS = 1 << 18
 #: Variants of one pass, while 8 passes will do.
 PASS_VARIANTS = 1 << 25
 #: Fingerprints that are expanded at a time.
-EXPANDED = 512
+EXPANDED = 256
 
 ONE = [1 << i for i in range(BITS)]
 MASKS = np.array([0, *ONE, *(a | b for a, b in combinations(ONE, 2))], U64)
@@ -179,11 +179,15 @@ def links(fps: DataFrame, path: str, passes: int | None = None) -> DataFrame:
                         pa.array([v[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
                         pa.array([m[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
                     ], names=["bucket", "variants", "masks"])
+            pa.default_memory_pool().release_unused()
 
         return run
 
     def meet(group: pa.Table) -> pa.Table:
-        a, b = links_met(np.frombuffer(b"".join(group["variants"].to_pylist()), U64), np.frombuffer(b"".join(group["masks"].to_pylist()), np.uint16))
+        variants, masks = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("variants", U64), ("masks", np.uint16)))
+        del group
+        a, b = links_met(variants, masks)
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     made = []
@@ -212,7 +216,7 @@ def word_fingerprints(words: Words, lanes: int, seed: int) -> np.ndarray:
     some = np.flatnonzero(count)
     bounds = np.searchsorted(text, some)
     for k in range(lanes):
-        bits = np.unpackbits(lane_of(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[word]
+        bits = np.unpackbits(lane_of(hashes, k)[word].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
         out[some, k] = np.packbits(2 * ones > count[some, None], axis=1).view(">u8").ravel()
     return out
@@ -234,7 +238,7 @@ def word_set_links(docs: DataFrame, path: str, id_col: str, text_col: str, shing
 
     def run(batches):
         for batch in batches:
-            for part in sliced(batch, 1):
+            for part in sliced(batch, 1, SLICE_BYTES // 2):
                 data, offsets = buffers(part.column(1))
                 own = word_fingerprints(Words(data, offsets), lanes, seed + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fingerprints_of(data, offsets, shingle, seed), *np.ascontiguousarray(own.T))], names=["fp", *names])
