@@ -149,16 +149,54 @@ def stable_label(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts).cast("binary"), 256), 1, 32)
 
 
-def normal_base_url(url: Column) -> Column:
-    """Scheme and host in small letters, default ports and dot segments gone, unreserved percent codes decoded in upper case,
-    one slash at the end; NULL for what is no absolute http(s) URL, or has user data, a query or a fragment."""
-    m = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@:]+)(?::([0-9]*))?(/[^?#]*)?$"
-    scheme, host, port, path = (F.regexp_extract(url, m, k) for k in (1, 2, 3, 4))
-    scheme, host = F.lower(scheme), F.lower(host)
+# Characters of RFC 3986.
+UNRESERVED, SUB_DELIMITERS = r"A-Za-z0-9\-._~", r"!$&'()*+,;="
+
+
+def percent_normal(text: Column, lower: bool = False) -> Column:
+    """Percent codes of unreserved characters decoded, the hex digits of others in capitals; with lower, all else in small letters."""
+    parts = F.regexp_extract_all(text, F.lit("%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    case = F.lower if lower else (lambda c: c)
+
+    def one(part: Column) -> Column:
+        char = F.char(F.conv(F.substring(part, 2, 2), 16, 10).cast("long"))
+        return F.when(part.rlike("^%[0-9A-Fa-f]{2}"), F.when(char.rlike(f"^[{UNRESERVED}]$"), case(char)).otherwise(F.upper(part))).otherwise(case(part))
+
+    return F.when(F.contains(text, F.lit("%")), F.array_join(F.transform(parts, one), "")).otherwise(case(text))
+
+
+def without_dot_segments(path: Column) -> Column:
+    """A path that is empty or begins with a slash, by RFC 3986 section 5.2.4; empty segments stay."""
     segments = F.split(F.substring(path, 2, 2147483647), "/")
+    last = F.element_at(segments, -1)
     start = F.array().cast("array<string>")
-    # One pass from the left: '..' takes the last segment back, '.' and nothing add none.
-    kept = F.aggregate(segments, start, lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
-    own_port = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
-    tail = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "/"), F.lit("/"))).otherwise("")
-    return F.when(url.rlike(m) & scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), host, own_port, F.lit("/"), tail))
+    back = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    # One pass from the left: '..' takes the last segment back.
+    kept = F.aggregate(segments, start, lambda acc, x: F.when(x == ".", acc).when(x == "..", back(acc)).otherwise(F.array_append(acc, x)))
+    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def _ip_literal() -> str:
+    """Pattern of what may stand in brackets: an IPv6 address, or a later version's."""
+    h = "[0-9A-Fa-f]{1,4}"
+    byte = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    low = rf"(?:{h}:{h}|{byte}(?:\.{byte}){{3}})"
+    forms = [rf"(?:{h}:){{6}}{low}", *(rf"(?:(?:{h}:){{0,{k - 1}}}{h})?::(?:{h}:){{{5 - k}}}{low}" if k else rf"::(?:{h}:){{5}}{low}" for k in range(6))]
+    forms += [rf"(?:(?:{h}:){{0,5}}{h})?::{h}", rf"(?:(?:{h}:){{0,6}}{h})?::", rf"[vV][0-9A-Fa-f]+\.[{UNRESERVED}{SUB_DELIMITERS}:]+"]
+    return "(?:" + "|".join(forms) + ")"
+
+
+def normal_base_url(url: Column) -> Column:
+    """Scheme and host in small letters, default ports and leading zeros of ports gone, percent codes normal, dot segments and slashes
+    at the end gone; NULL for what is no absolute URL with a host, or has user data, a query, a fragment, a blank or control
+    character, a host that is no name or address, or a port above 65535."""
+    m = rf"^([A-Za-z][A-Za-z0-9+.\-]*)://((?:[{UNRESERVED}{SUB_DELIMITERS}]|%[0-9A-Fa-f]{{2}})+|\[{_ip_literal()}\])(?::([0-9]*))?(/[^?#]*)?$"
+    scheme, host, port, path = (F.regexp_extract(url, m, k) for k in (1, 2, 3, 4))
+    scheme, digits = F.lower(scheme), F.ltrim(port, F.lit("0"))
+    digits = F.when((digits == "") & (port != ""), "0").otherwise(digits)
+    default = (digits == "") | ((scheme == "http") & (digits == "80")) | ((scheme == "https") & (digits == "443"))
+    fits = (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
+    tail = F.rtrim(without_dot_segments(percent_normal(path)), F.lit("/"))
+    good = url.rlike(m) & ~url.rlike(r"[\x00-\x20\x7F]") & fits
+    return F.when(good, F.concat(scheme, F.lit("://"), percent_normal(host, lower=True), F.when(default, "").otherwise(F.concat(F.lit(":"), digits)), tail))

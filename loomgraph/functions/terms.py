@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Namespaces and names of RDF and XML Schema.
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 NUL = "\0"
@@ -84,6 +85,22 @@ def number(term: Column) -> Column:
     return F.when(is_numeric(term), lexical(term).try_cast("double"))
 
 
+def whole(term: Column) -> Column:
+    """Exact value of an integer literal of up to 38 digits; NULL for all else. Doubles can't tell neighbours above 2**53 apart."""
+    x = lexical(term)
+    return F.when(is_numeric(term) & ~datatype(term).isin(*(XSD + t for t in ("decimal", "float", "double"))) & x.rlike(r"^[+-]?[0-9]+$"), x.try_cast("decimal(38,0)"))
+
+
+def text_of(term: Column) -> Column:
+    """STR: the text of an IRI or a literal; a blank node is an error."""
+    return F.when(kind(term) != "B", lexical(term))
+
+
+def string_literal(term: Column) -> Column:
+    """Text of a literal that string functions take: plain or with a language; NULL, an error, for all else."""
+    return F.when(kind(term).isin("S", "L"), lexical(term))
+
+
 def truth(term: Column) -> Column:
     """Effective boolean value: strings by length, numbers by value, booleans by themselves, NULL (an error) for the rest."""
     x = lexical(term)
@@ -110,7 +127,7 @@ def equal(a: Column, b: Column) -> Column:
     return (
         F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean"))
         .when(a == b, True)
-        .when(is_numeric(a) & is_numeric(b), number(a) == number(b))
+        .when(is_numeric(a) & is_numeric(b), F.coalesce(whole(a) == whole(b), number(a) == number(b)))
         .when(same_type & (datatype(a) == XSD + "boolean"), truth(a) == truth(b))
         .when(same_type & (datatype(a) == XSD + "dateTime"), moment(a) == moment(b))
         .when(kind(a).isin("I", "B") | kind(b).isin("I", "B"), False)
@@ -121,7 +138,7 @@ def equal(a: Column, b: Column) -> Column:
 def less(a: Column, b: Column) -> Column:
     """SPARQL '<' over numbers, plain strings and dateTimes; NULL for other pairs."""
     return (
-        F.when(is_numeric(a) & is_numeric(b), number(a) < number(b))
+        F.when(is_numeric(a) & is_numeric(b), F.coalesce(whole(a) < whole(b), number(a) < number(b)))
         .when((kind(a) == "S") & (kind(b) == "S"), lexical(a) < lexical(b))
         .when((datatype(a) == XSD + "dateTime") & (datatype(b) == XSD + "dateTime"), moment(a) < moment(b))
     )
@@ -130,7 +147,18 @@ def less(a: Column, b: Column) -> Column:
 def sort_key(term: Column) -> Column:
     """Order of terms: unbound, blank nodes, IRIs, literals; numbers by value, the rest by code points."""
     rank = F.when(term.isNull(), 0).when(kind(term) == "B", 1).when(kind(term) == "I", 2).otherwise(3)
-    return F.struct(rank.alias("rank"), number(term).alias("number"), lexical(term).alias("text"))
+    return F.struct(rank.alias("rank"), number(term).alias("number"), whole(term).alias("whole"), lexical(term).alias("text"))
+
+
+def is_in(term: Column, *items: Column) -> Column:
+    """IN: true if any item is equal by value; else an error if any comparison was one; else false."""
+    hits = [equal(term, i) for i in items]
+    if not hits:
+        return F.lit(False)
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return out
 
 
 def n_triple(term: Column) -> Column:

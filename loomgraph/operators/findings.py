@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as x
@@ -43,17 +43,48 @@ def undeclared(quads: DataFrame, declared: DataFrame) -> DataFrame:
     return quads.select("rid", "p").distinct().join(declared.select("p"), "p", "left_anti")
 
 
+# Namespaces of the Web Annotation and SHACL vocabularies, and what a JSON Pointer selector conforms to.
+OA, SH = "http://www.w3.org/ns/oa#", "http://www.w3.org/ns/shacl#"
+CONFORMS_TO, JSON_POINTER = "http://purl.org/dc/terms/conformsTo", "https://www.rfc-editor.org/rfc/rfc6901"
+
+
+def _one(s: Column, p: str, o: Column) -> Column:
+    return F.struct(s.alias("s"), F.lit("I" + p).alias("p"), o.alias("o"))
+
+
+def selector_triples(node: Column, value: Column) -> list[Column]:
+    """A selector node: an XPath, or a URI fragment that holds a JSON Pointer. NULL values give triples without an object, which go."""
+    pointer = F.startswith(value, F.lit("#"))
+    kind = F.when(pointer, F.lit("I" + OA + "FragmentSelector")).when(~pointer, F.lit("I" + OA + "XPathSelector"))
+    return [_one(node, t.RDF + "type", kind), _one(node, CONFORMS_TO, F.when(pointer, F.lit("I" + JSON_POINTER))), _one(node, t.RDF + "value", t.plain(value))]
+
+
 def as_triples(findings: DataFrame) -> DataFrame:
-    """Flat findings as annotation triples (rid, s, p, o); the count only where it is over one."""
-    node = x.stable_label(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rid", "path", "body", "value")))
-    oa, sh = "http://www.w3.org/ns/oa#", "http://www.w3.org/ns/shacl#"
-    one = lambda p, o: F.struct(F.lit("I" + p).alias("p"), o.alias("o"))
-    triples = F.array(
-        one(t.RDF + "type", F.lit("I" + oa + "Annotation")),
-        one(oa + "hasTarget", t.blank(F.concat(node, F.lit("t")))),
-        one(oa + "hasBody", t.iri(F.concat(F.lit("urn:gap:"), F.col("body")))),
-        one(sh + "resultSeverity", t.iri(F.concat(F.lit(sh), F.col("severity")))),
-        one(t.RDF + "value", t.plain(F.col("value"))),
-        one("urn:loomgraph:count", F.when(F.col("n") > 1, t.integer(F.col("n")))),
-    )
-    return findings.select("rid", t.blank(node).alias("s"), F.inline(triples)).filter(F.col("o").isNotNull())
+    """Flat findings as annotation triples (rid, s, p, o); the count only where it is over one.
+
+    With columns document and selector, the target has its document as source and a selector of its own, and where there is a column
+    within, the selector is refined by the address inside the record."""
+    names = findings.columns
+    own = [c for c in ("document", "selector", "within") if c in names]
+    node = x.stable_label(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rid", "path", "body", "value", *own)))
+    a, target, selector, inner = t.blank(node), t.blank(F.concat(node, F.lit("t"))), t.blank(F.concat(node, F.lit("s"))), t.blank(F.concat(node, F.lit("r")))
+    triples = [
+        _one(a, t.RDF + "type", F.lit("I" + OA + "Annotation")),
+        _one(a, OA + "hasTarget", target),
+        _one(a, OA + "hasBody", t.iri(F.concat(F.lit("urn:gap:"), F.col("body")))),
+        _one(a, SH + "resultSeverity", t.iri(F.concat(F.lit(SH), F.col("severity")))),
+        _one(a, t.RDF + "value", t.plain(F.col("value"))),
+        _one(a, "urn:loomgraph:count", F.when(F.col("n") > 1, t.integer(F.col("n")))),
+    ]
+    if "document" in names:
+        triples += [_one(a, OA + "motivatedBy", F.lit("I" + OA + "classifying")), _one(target, OA + "hasSource", t.iri(F.col("document")))]
+    if "selector" in names:
+        triples += [_one(target, OA + "hasSelector", F.when(F.col("selector").isNotNull(), selector)), *selector_triples(selector, F.col("selector"))]
+    if "within" in names:
+        triples += [_one(selector, OA + "refinedBy", F.when(F.col("within").isNotNull(), inner)), *selector_triples(inner, F.col("within"))]
+    return findings.select("rid", F.inline(F.array(*triples))).filter(F.col("o").isNotNull())
+
+
+def dropped_versions(gone: DataFrame) -> DataFrame:
+    """A warning for each version that was not kept: rid, path, body, severity, value (the name that was kept), selector, n."""
+    return gone.select("rid", F.lit("").alias("path"), F.lit("versionNotKept").alias("body"), F.lit(WARNING).alias("severity"), F.col("kept_name").alias("value"), "selector", F.lit(1).alias("n"))

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as x
 from loomgraph.functions import terms as t
+from loomgraph.tables import shared_dir, written
 
+# The placeholder of version names, and names of the PROV vocabulary.
 PLACEHOLDER = "urn:this-version"
 SPECIALIZATION = "Ihttp://www.w3.org/ns/prov#specializationOf"
+HAS_SELECTOR = "Ihttp://www.w3.org/ns/oa#hasSelector"
+#: A node that tells how a draft came: it goes with the draft.
+ARRIVED_AS = "Iurn:loomgraph:arrivedAs"
 
 
 def drafts(quads: DataFrame) -> DataFrame:
@@ -32,9 +37,16 @@ def renamed(term: Column, old: Column, new: Column) -> Column:
 
 
 def versions(quads: DataFrame) -> DataFrame:
-    """rid, draft, record, canonical, name: the draft's triples with a placeholder for the draft, as sorted distinct lines, hashed."""
+    """rid, draft, record, canonical, name: the draft's triples with a placeholder for the draft, as sorted distinct lines, hashed.
+
+    A version that holds a blank node or names another version of its record set raises: its name would not follow from its content."""
     d = drafts(quads)
     own = quads.withColumn("draft", owner(F.col("s"))).join(d, ["rid", "draft"])
+    others = d.select("rid", F.col("draft").alias("__own"), F.lit(True).alias("__other"))
+    own = own.withColumn("__own", F.when((t.kind(F.col("o")) == "I") & (owner(F.col("o")) != F.col("draft")), owner(F.col("o")))).join(others, ["rid", "__own"], "left")
+    refuse = lambda why: F.raise_error(F.concat(F.lit("the version "), "draft", F.lit(why), "o")).cast("string")
+    checked = F.when(t.kind(F.col("o")) == "B", refuse(" holds the blank node ")).when(F.col("__other"), refuse(" names the version ")).otherwise(F.col("o"))
+    own = own.withColumn("o", checked)
     place = F.lit("I" + PLACEHOLDER)
     s, p, o = (t.n_triple(renamed(F.col(c), F.col("draft"), place)) for c in ("s", "p", "o"))
     lines = own.groupBy("rid", "draft", "record").agg(F.array_sort(F.collect_set(F.concat_ws(" ", s, p, o, F.lit(".")))).alias("lines"))
@@ -48,15 +60,51 @@ def kept(named: DataFrame) -> DataFrame:
     return named.withColumn("kept", n == 1)
 
 
-def without_dropped(quads: DataFrame, named: DataFrame) -> DataFrame:
-    """Triples of versions that stay, under their names; triples of dropped versions, and blank nodes only they reach, go."""
+def selectors(quads: DataFrame) -> DataFrame:
+    """rid, draft, selector: where the arrivals of drafts were found."""
+    came = quads.filter(F.col("p") == ARRIVED_AS).select("rid", F.col("s").alias("node"), F.col("o").alias("draft"))
+    at = quads.filter(F.col("p") == HAS_SELECTOR).select("rid", F.col("s").alias("node"), F.col("o").alias("at"))
+    text = quads.filter(F.col("p") == "I" + t.RDF + "value").select("rid", F.col("s").alias("at"), t.lexical(F.col("o")).alias("selector"))
+    return came.join(at, ["rid", "node"]).join(text, ["rid", "at"]).select("rid", "draft", "selector").distinct()
+
+
+def dropped(quads: DataFrame, named: DataFrame) -> DataFrame:
+    """rid, draft, kept_name and selector of versions that go: the name that stays for their record, and the least selector of their arrivals."""
     k = kept(named)
-    gone = k.filter(~F.col("kept")).select("rid", F.col("draft").alias("__gone"))
-    left = quads.join(gone, (quads.rid == gone.rid) & (owner(F.col("s")) == F.col("__gone")), "left_anti")
-    blanks = quads.filter(t.kind(F.col("o")) == "B").select("rid", F.col("o").alias("s")).distinct()
-    pointed = left.filter(t.kind(F.col("o")) == "B").select("rid", F.col("o").alias("s")).distinct()
-    orphans = blanks.join(pointed, ["rid", "s"], "left_anti")
-    left = left.join(orphans, ["rid", "s"], "left_anti").select("rid", "s", "p", "o")
+    stays = k.filter("kept").select("rid", "record", F.col("name").alias("kept_name"))
+    least = selectors(quads).groupBy("rid", "draft").agg(F.min("selector").alias("selector"))
+    return k.filter(~F.col("kept")).select("rid", "record", "draft").join(stays, ["rid", "record"]).join(least, ["rid", "draft"], "left").select("rid", "draft", "kept_name", "selector")
+
+
+def orphans(quads: DataFrame, gone: DataFrame, path: str) -> DataFrame:
+    """(rid, s): gone (rid, s), and the blank nodes that only they point to, and what only those point to, and so on.
+
+    One round a step along chains of blank nodes; a round looks at nodes that the round before has reached."""
+    refs = written(quads.filter((t.kind(F.col("o")) == "B") & (F.col("s") != F.col("o"))).select("rid", F.col("o").alias("node"), "s").distinct(), path, "referrers")
+    all_gone = frontier = written(gone.distinct(), path, "gone0")
+    k = 0
+    while True:
+        k += 1
+        asked = refs.join(frontier, ["rid", "s"], "left_semi").select("rid", "node").distinct()
+        asked = asked.join(all_gone.withColumnRenamed("s", "node"), ["rid", "node"], "left_anti")
+        held = refs.join(asked, ["rid", "node"], "left_semi").join(all_gone, ["rid", "s"], "left_anti").select("rid", "node").distinct()
+        frontier = written(asked.join(held, ["rid", "node"], "left_anti").select("rid", F.col("node").alias("s")), path, f"gone{k}")
+        if frontier.isEmpty():
+            return all_gone
+        all_gone = quads.sparkSession.read.schema(frontier.schema).parquet(*(f"{path}/gone{i}" for i in range(k + 1)))
+
+
+def without_dropped(quads: DataFrame, named: DataFrame) -> DataFrame:
+    """Triples of versions that stay, under their names; triples of dropped versions and of their arrivals, triples that name them,
+    and blank nodes that only these reach, by however many steps, go."""
+    path = shared_dir(quads.sparkSession)
+    quads, k = written(quads, path, "quads"), written(kept(named).select("rid", "draft", "name", "kept"), path, "named")
+    lost = k.filter(~F.col("kept")).select("rid", F.col("draft").alias("__own"))
+    subjects = quads.select("rid", "s", owner(F.col("s")).alias("__own")).join(lost, ["rid", "__own"], "left_semi").select("rid", "s")
+    came = quads.filter(F.col("p") == ARRIVED_AS).select("rid", "s", owner(F.col("o")).alias("__own")).join(lost, ["rid", "__own"], "left_semi").select("rid", "s")
+    subjects = subjects.union(came)
+    left = quads.join(orphans(quads, subjects, path), ["rid", "s"], "left_anti")
+    left = left.withColumn("__own", owner(F.col("o"))).join(lost, ["rid", "__own"], "left_anti").select("rid", "s", "p", "o")
     names = k.filter("kept").select("rid", F.col("draft").alias("__d"), t.iri(F.col("name")).alias("__n"))
     out = left
     for c in ("s", "o"):

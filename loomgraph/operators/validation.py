@@ -6,12 +6,29 @@ one pass. Keywords that are not supported raise when the check is built, never p
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import terms as t
 
 
+def json_equal(value: Column, kind: Column, want) -> Column:
+    """Is a JSON scalar (its text and its kind) equal to a value of the schema? By kind, and numbers by value: 1.0 is 1, "1" is not."""
+    if want is None:
+        return kind == "null"
+    if isinstance(want, bool):
+        return (kind == "boolean") & (value == str(want).lower())
+    if isinstance(want, int | float):
+        exact = value.try_cast("decimal(38,18)") == F.lit(str(want)).cast("decimal(38,18)")
+        return (kind == "number") & F.coalesce(exact, value.try_cast("double") == F.lit(float(want)), F.lit(False))
+    if isinstance(want, str):
+        return (kind == "string") & (value == want)
+    raise ValueError("only scalars can be compared")
+
+
 def json_keyword(value: Column, kind: Column, keyword: str, want) -> Column:
     """True where a JSON value (its text and its kind) breaks a keyword; values of another kind don't."""
     number = F.when(kind == "number", value.try_cast("decimal(38,18)"))
@@ -19,8 +36,8 @@ def json_keyword(value: Column, kind: Column, keyword: str, want) -> Column:
     size = F.char_length(value)
     broken = {
         "type": lambda: ~(kind.isin(*([want] if isinstance(want, str) else want)) | (F.lit("integer" in want) & (kind == "number") & (number == F.floor(number)))),
-        "enum": lambda: ~value.isin(*[str(w) for w in want]),
-        "const": lambda: value != F.lit(str(want)),
+        "enum": lambda: ~reduce(or_, (F.coalesce(json_equal(value, kind, w), F.lit(False)) for w in want), F.lit(False)),
+        "const": lambda: ~F.coalesce(json_equal(value, kind, want), F.lit(False)),
         "minimum": lambda: number < F.lit(want),
         "maximum": lambda: number > F.lit(want),
         "exclusiveMinimum": lambda: number <= F.lit(want),
@@ -36,18 +53,49 @@ def json_keyword(value: Column, kind: Column, keyword: str, want) -> Column:
 
 
 def json_violations(nodes: DataFrame, schema: dict) -> DataFrame:
-    """doc_id, record, path, keyword: what the members of each record break. schema: required, and properties with keywords."""
-    rules = [(f"/{name}", k, v) for name, keys in schema.get("properties", {}).items() for k, v in keys.items()]
+    """doc_id, record, path, keyword: what each record breaks. schema: keywords on values, and required, minItems, maxItems, uniqueItems,
+    minProperties, maxProperties, items (one schema) and properties, nested to any depth."""
+    of_value, of_node = [], []
+
+    def read(schema: dict, path: str, item: bool) -> None:
+        """Rules by the path of a node, and whether it is an item of an array there (items stand at the array's own path)."""
+        for k, v in schema.items():
+            if k == "properties":
+                for name, inner in v.items():
+                    read(inner, f"{path}/{name}", False)
+            elif k == "items":
+                read(v, path, True)
+            elif k in ("required", "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties"):
+                of_node.append((path, item, k, v))
+            else:
+                of_value.append((path, item, k, v))
+
+    read(schema, "", False)
+    inside = nodes.filter("record >= 0 AND kind <> 'error'")
     value, kind = F.col("value"), F.col("kind")
-    checks = F.array(*(F.when((F.col("path") == p) & json_keyword(value, kind, k, v), F.lit(k)) for p, k, v in rules)) if rules else F.array().cast("array<string>")
-    found = nodes.filter("record >= 0").select("doc_id", "record", "path", F.explode(F.array_compact(checks)).alias("keyword"))
-    records = nodes.filter("record >= 0 AND path = '' AND kind = 'object'").select("doc_id", "record")
-    need = schema.get("required", [])
-    if not need:
+    is_item = F.coalesce(F.col("parent_kind") == "array", F.lit(False)) & (F.col("path") != "")
+    here = lambda p, item: (F.col("path") == p) & (is_item if item else ~is_item)
+    none = F.array().cast("array<string>")
+    checks = F.array(*(F.when(here(p, i) & json_keyword(value, kind, k, v), F.lit(k)) for p, i, k, v in of_value)) if of_value else none
+    found = inside.select("doc_id", "record", "path", F.explode(F.array_compact(checks)).alias("keyword"))
+    if not of_node:
         return found
-    wanted = records.select("doc_id", "record", F.explode(F.array(*(F.lit(f"/{n}") for n in need))).alias("path"))
-    missing = wanted.join(nodes.select("doc_id", "record", "path").distinct(), ["doc_id", "record", "path"], "left_anti")
-    return found.union(missing.withColumn("keyword", F.lit("required")))
+    # What a container holds: its members' names and its items, by its position.
+    same_value = F.coalesce(F.when(kind == "number", value.try_cast("decimal(38,18)").cast("string")), value)
+    held = inside.filter("path <> '' OR parent_kind = 'array'").groupBy("doc_id", F.col("parent").alias("pos")).agg(F.collect_set("name").alias("names"), F.count("*").alias("n"), F.count_distinct(F.when(~kind.isin("object", "array"), F.struct("kind", same_value.alias("value")))).alias("distinct_scalars"), F.count_if(~kind.isin("object", "array")).alias("scalars"))
+    asked = inside.filter("kind IN ('object', 'array')").join(held, ["doc_id", "pos"], "left")
+    n, names = F.coalesce("n", F.lit(0)), F.coalesce("names", none)
+    is_object, is_array = kind == "object", kind == "array"
+    broken = {
+        "required": lambda v: is_object & (F.size(F.array_except(F.array(*map(F.lit, v)), names)) > 0) if v else F.lit(False),
+        "minItems": lambda v: is_array & (n < v),
+        "maxItems": lambda v: is_array & (n > v),
+        "uniqueItems": lambda v: is_array & F.lit(bool(v)) & (F.coalesce("scalars", F.lit(0)) > F.coalesce("distinct_scalars", F.lit(0))),
+        "minProperties": lambda v: is_object & (F.size(names) < v),
+        "maxProperties": lambda v: is_object & (F.size(names) > v),
+    }
+    of_container = F.array(*(F.when(here(p, i) & broken[k](v), F.lit(k)) for p, i, k, v in of_node))
+    return found.union(asked.select("doc_id", "record", "path", F.explode(F.array_compact(of_container)).alias("keyword")))
 
 
 def shacl(quads: DataFrame, target: str, path: str, min_count: int | None = None, max_count: int | None = None, max_length: int | None = None, pattern: str | None = None, datatype: str | None = None, values: list[str] | None = None) -> DataFrame:

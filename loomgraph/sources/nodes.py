@@ -1,7 +1,8 @@
 """XML and JSON documents as node tables. Python only parses; everything after is DataFrame work on the nodes.
 
 Nodes: doc_id, record (-1 outside records), pos (document order), parent (pos), kind, ns, name, slot (place among the
-parent's element and text children, from 1), nth (place among same-named siblings, from 1), value, selector, path.
+parent's element and text children, from 1), nth (place among same-named siblings, from 1), value, selector, path,
+parent_kind (NULL at the root), above (positions of all elements around a text node, NULL for other nodes).
 XML kinds: element, attribute, text. JSON kinds: object, array, string, number, boolean, null. A document
 that can't be read has one row of kind error with the reason as its value.
 """
@@ -9,18 +10,31 @@ that can't be read has one row of kind error with the reason as its value.
 from __future__ import annotations
 
 import json
+import re
 from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ("record", "pos", "parent", "kind", "ns", "name", "slot", "nth", "value", "selector", "path")
-SCHEMA = "record int, pos int, parent int, kind string, ns string, name string, slot int, nth int, value string, selector string, path string"
-KINDS = [pa.int32()] * 3 + [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()] * 3
+FIELDS = ("record", "pos", "parent", "kind", "ns", "name", "slot", "nth", "value", "selector", "path", "parent_kind", "above")
+SCHEMA = "record int, pos int, parent int, kind string, ns string, name string, slot int, nth int, value string, selector string, path string, parent_kind string, above array<int>"
+KINDS = [pa.int32()] * 3 + [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()] * 4 + [pa.list_(pa.int32())]
 XML_SPACE = " \t\r\n"
 
 
+def _error(reason: str) -> list[tuple]:
+    return [(-1, 0, -1, "error", "", "", 0, 1, reason, "", "", None, None)]
+
+
+def _step(ns: str, local: str) -> str:
+    """An element in an XPath: by its name, or by name and namespace where it has one."""
+    if not ns:
+        return local
+    quote = '"' if "'" in ns else "'"
+    return f"*[local-name()='{local}' and namespace-uri()={quote}{ns}{quote}]"
+
+
 class _Xml:
     """Expat events to node rows. Outermost elements named ``unit`` are records."""
 
@@ -32,7 +46,7 @@ class _Xml:
         if self.stack and text.strip(XML_SPACE):
             top = self.stack[-1]
             top["slots"] += 1
-            self.rows.append((self.record, len(self.rows), top["pos"], "text", "", "", top["slots"], 1, text, top["selector"], top["path"]))
+            self.rows.append((self.record, len(self.rows), top["pos"], "text", "", "", top["slots"], 1, text, top["selector"], top["path"], "element", [x["pos"] for x in self.stack]))
 
     def start(self, name, attributes):
         self.flush()
@@ -47,14 +61,14 @@ class _Xml:
             top["slots"] += 1
             slot = top["slots"]
             nth = top["names"][name] = top["names"].get(name, 0) + 1
-        selector = f"{top['selector']}/{local}[{nth}]" if top else f"/{local}"
+        selector = f"{top['selector']}/{_step(ns, local)}[{nth}]" if top else f"/{_step(ns, local)}"
         path = "" if own else f"{top['path']}/{local}" if top and self.record >= 0 else ""
         pos = len(self.rows)
-        self.rows.append((self.record, pos, top["pos"] if top else -1, "element", ns, local, slot, nth, None, selector, path))
+        self.rows.append((self.record, pos, top["pos"] if top else -1, "element", ns, local, slot, nth, None, selector, path, "element" if top else None, None))
         self.stack.append({"pos": pos, "slots": 0, "names": {}, "selector": selector, "path": path, "own": own})
         for key, value in zip(attributes[::2], attributes[1::2], strict=True):
             a_ns, _, a = key.rpartition(" ")
-            self.rows.append((self.record, len(self.rows), pos, "attribute", a_ns, a, 0, 1, value, selector, f"{path}/@{a}"))
+            self.rows.append((self.record, len(self.rows), pos, "attribute", a_ns, a, 0, 1, value, selector, f"{path}/@{a}", "element", None))
 
     def end(self, name):
         self.flush()
@@ -70,7 +84,7 @@ def parse_xml(text: str | None, unit: str) -> list[tuple]:
     try:
         parser.Parse((text or "").encode(), True)
     except (expat.ExpatError, ValueError) as e:
-        return [(-1, 0, -1, "error", "", "", 0, 1, str(e), "", "")]
+        return _error(str(e))
     return x.rows
 
 
@@ -82,48 +96,71 @@ def _refuse(x: str):
     raise ValueError(f"{x} is no JSON")
 
 
+#: Containers that may stand in each other.
+DEEPEST = 512
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _too_deep(text: str) -> bool:
+    if text.count("[") + text.count("{") <= DEEPEST:
+        return False
+    depth = 0
+    for mark in re.findall(r"[\[\]{}]", re.sub(r'"(?:[^"\\]|\\.)*"', "", text, flags=re.S)):
+        depth += 1 if mark in "[{" else -1
+        if depth > DEEPEST:
+            return True
+    return False
+
+
 def parse_json(text: str | None, split: str | None) -> list[tuple]:
-    """split: None (the root is the record) or the member whose array items are the records; only objects are records."""
-    rows: list[tuple] = []
+    """split: None (the root is the record) or the member whose array items are the records; only objects are records.
+
+    A document that is no JSON, is over 512 levels deep, or has a lone surrogate is one row of kind error."""
+    text = text or ""
     try:
-        root = json.loads(text or "", object_pairs_hook=lambda pairs: ("object", pairs), parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+        text.encode("utf-8")
+        if _too_deep(text):
+            raise ValueError(f"over {DEEPEST} levels deep")
+        root = json.loads(text, object_pairs_hook=lambda pairs: ("object", pairs), parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
         if not isinstance(root, tuple | list):
             raise ValueError("the root is neither object nor array")
-        (text or "").encode("utf-8")
+        return _json_rows(root, split, bool(_SURROGATE.search(text)))
+    except UnicodeEncodeError:
+        return _error("a lone surrogate")
     except (ValueError, RecursionError) as e:
-        return [(-1, 0, -1, "error", "", "", 0, 1, str(e), "", "")]
-    records = 0
+        return _error(str(e))
+
 
-    def add(x, parent, name, slot, nth, pointer, record, path):
-        nonlocal records
+def _json_rows(root, split: str | None, check: bool) -> list[tuple]:
+    """Nodes in document order, from an explicit stack."""
+    rows: list[tuple] = []
+    records = 0
+    # value, parent, parent's kind, name, slot, nth, pointer, record, path, and whether an object here is a record
+    stack = [(root, -1, None, "", 1, 1, "", 0 if split is None and isinstance(root, tuple) else -1, "", False)]
+    while stack:
+        x, parent, parent_kind, name, slot, nth, pointer, record, path, may_be_record = stack.pop()
         pos = len(rows)
         is_object, is_array = isinstance(x, tuple), isinstance(x, list)
         kind = "object" if is_object else "array" if is_array else "number" if isinstance(x, _Number) else "string" if isinstance(x, str) else "null" if x is None else "boolean"
         value = None if is_object or is_array or x is None else str(x).lower() if isinstance(x, bool) else str(x)
-        rows.append((record, pos, parent, kind, "", name, slot, nth, value, "#" + pointer, path))
+        if check:
+            f"{name}{value}".encode("utf-8")
+        if may_be_record and is_object:
+            record, records = records, records + 1
+        rows.append((record, pos, parent, kind, "", name, slot, nth, value, "#" + pointer, path, parent_kind, None))
+        inner: list[tuple] = []
         if is_object:
             seen: dict = {}
             for k, (key, v) in enumerate(x[1], 1):
                 seen[key] = seen.get(key, 0) + 1
+                splits = split is not None and parent < 0 and key == split and isinstance(v, list)
                 step = key.replace("~", "~0").replace("/", "~1")
-                inner = f"{pointer}/{step}"
-                add_items = split is not None and parent < 0 and key == split and isinstance(v, list)
-                add(v, pos, key, k, seen[key], inner, record, f"{path}/{key}") if not add_items else items(v, pos, key, k, inner)
+                inner.append((v, pos, kind, key, k, seen[key], f"{pointer}/{step}", -1 if splits else record, "" if splits else f"{path}/{key}", False))
         elif is_array:
+            records_here = split is not None and parent == 0 and parent_kind == "object" and record < 0 and name == split
             for k, v in enumerate(x):
-                add(v, pos, str(k + 1), k + 1, 1, f"{pointer}/{k}", record, path)
-
-    def items(array, parent, name, slot, pointer):
-        nonlocal records
-        pos = len(rows)
-        rows.append((-1, pos, parent, "array", "", name, slot, 1, None, "#" + pointer, ""))
-        for k, v in enumerate(array):
-            own = -1
-            if isinstance(v, tuple):
-                own, records = records, records + 1
-            add(v, pos, str(k + 1), k + 1, 1, f"{pointer}/{k}", own, "")
-
-    add(root, -1, "", 1, 1, "", 0 if split is None and isinstance(root, tuple) else -1, "")
+                inner.append((v, pos, kind, str(k + 1), k + 1, 1, f"{pointer}/{k}", record, path, records_here))
+        stack.extend(reversed(inner))
     return rows
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import scalars as x
 from loomgraph.functions import terms as t
 
 # Namespaces of the public Facade-X vocabulary, and the DOM's name for text content.
@@ -32,36 +31,37 @@ def _member(slot: str = "slot") -> Column:
     return t.iri(F.concat(F.lit(t.RDF + "_"), F.col(slot).cast("string")))
 
 
+# The unreserved characters of RFC 3987.
+UNRESERVED = r"A-Za-z0-9\-._~\x{A0}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFEF}" + "".join(rf"\x{{{k:X}0000}}-\x{{{k:X}FFFD}}" for k in range(1, 14)) + r"\x{E1000}-\x{EFFFD}"
+
+
 def percent_encoded(name: Column) -> Column:
-    """A member name in an IRI: characters outside the unreserved set of RFC 3987 are percent-encoded."""
-    # ASCII that is no letter, digit or one of -._~ is encoded; non-ASCII letters stay.
-    return F.aggregate(F.split(name, ""), F.lit(""), lambda acc, c: F.concat(acc, F.when(c.rlike(r"^[\x00-\x7F]$") & ~c.rlike(r"^[A-Za-z0-9\-._~]$"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)))
+    """A member name in an IRI: characters outside the unreserved set of RFC 3987 are percent-encoded, run by run."""
+    runs = F.regexp_extract_all(name, F.lit(f"[{UNRESERVED}]+|[^{UNRESERVED}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{UNRESERVED}]"), r).otherwise(x.encode_for_uri(r))), "")
 
 
 def xml_triples(nodes: DataFrame) -> DataFrame:
-    """(rid, s, p, o) of all records: types, roots, attributes and children in order."""
-    n = nodes.filter((F.col("record") >= 0) & (F.col("kind") != "error")).withColumn("rid", record_id())
-    elements = n.filter("kind = 'element'")
-    root = F.col("path") == ""
-    return reduce(DataFrame.union, [
-        elements.select("rid", _node().alias("s"), F.lit(TYPE).alias("p"), t.iri(_in_namespace()).alias("o")),
-        elements.filter(root).select("rid", _node().alias("s"), F.lit(TYPE).alias("p"), F.lit("I" + FX + "root").alias("o")),
-        elements.filter(~root).select("rid", _node("parent").alias("s"), _member().alias("p"), _node().alias("o")),
-        n.filter("kind = 'attribute'").select("rid", _node("parent").alias("s"), t.iri(_in_namespace()).alias("p"), t.plain(F.col("value")).alias("o")),
-        n.filter("kind = 'text'").select("rid", _node("parent").alias("s"), _member().alias("p"), t.plain(F.col("value")).alias("o")),
-    ])
+    """(rid, s, p, o) of all records: types, roots, attributes and children in order. One pass over the nodes."""
+    n = nodes.filter((F.col("record") >= 0) & F.col("kind").isin("element", "attribute", "text")).withColumn("rid", record_id())
+    element, attribute, root = F.col("kind") == "element", F.col("kind") == "attribute", F.col("path") == ""
+    one = lambda s, p, o: F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
+    of_element = F.array(
+        one(_node(), F.lit(TYPE), t.iri(_in_namespace())),
+        F.when(root, one(_node(), F.lit(TYPE), F.lit("I" + FX + "root"))).otherwise(one(_node("parent"), _member(), _node())),
+    )
+    of_attribute = F.array(one(_node("parent"), t.iri(_in_namespace()), t.plain(F.col("value"))))
+    of_text = F.array(one(_node("parent"), _member(), t.plain(F.col("value"))))
+    return n.select("rid", F.inline(F.when(element, of_element).when(attribute, of_attribute).otherwise(of_text)))
 
 
 def text_content(nodes: DataFrame) -> DataFrame:
     """(doc_id, record, pos, text): the text below every element that has some, in document order.
 
-    Every text node is sent to its ancestors, whose selectors are the prefixes of its own."""
-    texts = nodes.filter("kind = 'text'")
-    steps = F.split("selector", "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
-    sent = texts.select("doc_id", "record", "pos", "value", F.explode(above).alias("selector"))
-    joined = sent.groupBy("doc_id", "selector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]), "").alias("text"))
-    return nodes.filter("kind = 'element'").select("doc_id", "record", "pos", "selector").join(joined, ["doc_id", "selector"]).select("doc_id", "record", "pos", "text")
+    Every text node is sent to the elements around it, by their positions."""
+    sent = nodes.filter("kind = 'text'").select("doc_id", F.explode("above").alias("pos"), F.col("pos").alias("at"), "value")
+    joined = sent.groupBy("doc_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda r: r["value"]), "").alias("text"))
+    return nodes.filter("kind = 'element'").select("doc_id", "record", "pos").join(joined, ["doc_id", "pos"]).select("doc_id", "record", "pos", "text")
 
 
 def element_breaks(text: Column, mark: str) -> Column:
@@ -78,14 +78,12 @@ def decoded_attachment(content: Column) -> Column:
 
 
 def json_triples(nodes: DataFrame) -> DataFrame:
-    """(rid, s, p, o) of all records: members by name, items by place; scalars as plain literals, nulls as nothing."""
+    """(rid, s, p, o) of all records: members by name, items by place; scalars as plain literals, nulls as nothing. One pass, no join."""
     n = nodes.filter((F.col("record") >= 0) & ~F.col("kind").isin("error", "null")).withColumn("rid", record_id())
-    inside = n.join(n.select("rid", F.col("pos").alias("parent"), F.col("kind").alias("parent_kind")), ["rid", "parent"], "left")
+    root = F.col("path") == ""
     name = F.when(F.col("parent_kind") == "array", _member()).otherwise(t.iri(F.concat(F.lit(XYZ), percent_encoded(F.col("name")))))
     value = F.when(F.col("kind").isin("object", "array"), _node()).otherwise(t.plain(F.col("value")))
-    edges = inside.filter(F.col("parent_kind").isNotNull()).select("rid", _node("parent").alias("s"), name.alias("p"), value.alias("o"))
-    roots = inside.filter(F.col("parent_kind").isNull()).select("rid", _node().alias("s"), F.lit(TYPE).alias("p"), F.lit("I" + FX + "root").alias("o"))
-    return edges.union(roots)
+    return n.select("rid", F.when(root, _node()).otherwise(_node("parent")).alias("s"), F.when(root, TYPE).otherwise(name).alias("p"), F.when(root, "I" + FX + "root").otherwise(value).alias("o"))
 
 
 def skeleton(nodes: DataFrame) -> DataFrame:
@@ -125,29 +123,47 @@ def direct(df: DataFrame, name: str, key: list[str], rid: str | None = None, lin
     return rows.union(types)
 
 
-def read_n_triples(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o of an N-Triples file; comments and blank lines are skipped, lines that are no triple raise."""
+def unescaped(text: Column) -> Column:
+    """N-Triples escapes: \\t \\b \\n \\r \\f \\" \\' \\\\, and \\u and \\U with the code point in hex."""
+    parts = F.regexp_extract_all(text, F.lit(r"\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\.|[^\\]+"), F.lit(0))
+    plain = dict(zip("tbnrf", "\t\b\n\r\f", strict=True))
+
+    def one(part: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.substring(part, 3, 8), 8, "0")), "UTF-32")
+        out = F.when(part.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), code)
+        for mark, char in plain.items():
+            out = out.when(part == "\\" + mark, char)
+        return out.when(F.startswith(part, F.lit("\\")), F.substring(part, 2, 2147483647)).otherwise(part)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def parsed_n_triples(lines: DataFrame) -> DataFrame:
+    """s, p, o of N-Triples lines (column value); comments and blank lines are skipped, lines that are no triple raise."""
     part = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
     line = rf"^\s*{part}\s+{part}\s+{part}\s*\.\s*(?:#.*)?$"
-    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    rows = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
     checked = rows.withColumn("value", F.when(F.col("value").rlike(line), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no triple: "), F.col("value")))))
 
     def term(k: int) -> Column:
         x = F.regexp_extract("value", line, k)
         lit = r'^"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$'
-        text = F.regexp_extract(x, lit, 1)
-        for have, want in (("\\\\", "\x01"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x01", "\\")):
-            text = F.replace(text, F.lit(have), F.lit(want))
-        kind, tag = F.regexp_extract(x, lit, 2), F.regexp_extract(x, lit, 3)
+        text = unescaped(F.regexp_extract(x, lit, 1))
+        kind, tag = unescaped(F.regexp_extract(x, lit, 2)), F.regexp_extract(x, lit, 3)
         return (
-            F.when(F.startswith(x, F.lit("<")), t.iri(F.substring(x, F.lit(2), F.length(x) - 2)))
+            F.when(F.startswith(x, F.lit("<")), t.iri(unescaped(F.substring(x, F.lit(2), F.length(x) - 2))))
             .when(F.startswith(x, F.lit("_:")), t.blank(F.substring(x, 3, 2147483647)))
             .when(tag != "", F.concat(F.lit("L"), tag, F.lit(t.NUL), text))
             .when((kind != "") & (kind != t.XSD + "string"), F.concat(F.lit("T"), kind, F.lit(t.NUL), text))
             .otherwise(t.plain(text))
         )
 
-    return checked.select(term(1).alias("s"), term(2).alias("p"), term(3).alias("o"))
+    return checked.select(*lines.drop("value").columns, term(1).alias("s"), term(2).alias("p"), term(3).alias("o"))
+
+
+def read_n_triples(spark: SparkSession, path: str) -> DataFrame:
+    """s, p, o of an N-Triples file."""
+    return parsed_n_triples(spark.read.text(path))
 
 
 def write_n_triples(quads: DataFrame, path: str) -> None:

@@ -144,3 +144,30 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     graph = spark.read.parquet(f"{tmp_path}/out/graph")
     assert {r["o"] for r in graph.filter("p = 'Iurn:id'").collect()} == {"S0", "S1", "S2"}
+
+
+@pytest.mark.parametrize(("text", "good"), [("[" * 512 + "]" * 512, True), ("[" * 513 + "]" * 513, False), ('{"a":' * 2000 + "1" + "}" * 2000, False), ("[" * 100_000, False), ('{"items": ["\\ud800"]}', False), ('{"\\uDFFF": 1}', False), ('["\\ud83d\\ude00 [[["]', True), ('"x"', False), ("[1,]", False)])
+def test_a_bad_document_is_one_row(spark, text, good):
+    rows = nd.json_nodes(spark.createDataFrame([(1, text), (2, "{}")], "doc_id long, text string")).collect()
+    errors = [r for r in rows if r["kind"] == "error"]
+    assert [r["doc_id"] for r in errors] == ([] if good else [1]) and any(r["doc_id"] == 2 and r["kind"] == "object" for r in rows)
+
+
+def test_elements_of_two_namespaces_keep_their_text(spark):
+    text = '<r xmlns:a="urn:a" xmlns:b="urn:b"><a:x>1</a:x><b:x>2</b:x><x>3<y>4</y></x></r>'
+    n = nd.xml_nodes(spark.createDataFrame([(1, text)], "doc_id long, text string"), "r")
+    content = {r["pos"]: r["text"] for r in tr.text_content(n).collect()}
+    got = {r["selector"]: content[r["pos"]] for r in n.filter("kind = 'element'").collect()}
+    assert got == {"/r": "1234", "/r/*[local-name()='x' and namespace-uri()='urn:a'][1]": "1", "/r/*[local-name()='x' and namespace-uri()='urn:b'][1]": "2", "/r/x[1]": "34", "/r/x[1]/y[1]": "4"}
+
+
+def test_n_triples_escapes(spark):
+    lines = [r'<urn:caf\u00E9> <urn:p> "a\tb\b\n\r\f\"\'\\u0041\U0001F600\u0001"@en .', r'_:x <urn:p> "\\n" .', "# nothing", ""]
+    got = sorted(tuple(r) for r in tr.parsed_n_triples(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
+    assert got == [("Bx", "Iurn:p", "S\\n"), ("Iurn:café", "Iurn:p", "Len\0a\tb\b\n\r\f\"'\\u0041😀\x01")]
+
+
+def test_member_names_keep_what_an_iri_may_hold(spark):
+    names = ["a b", "é/日", "x\u0080", "😀", "", "~-._", "\ue000"]
+    df = spark.createDataFrame([(x,) for x in names], "n string")
+    assert [r[0] for r in df.select(tr.percent_encoded(F.col("n"))).collect()] == ["a%20b", "é%2F日", "x%C2%80", "😀", "", "~-._", "%EE%80%80"]
