@@ -2,11 +2,12 @@
 
 ``store`` puts bytes into a WAVE file as 8-bit codes (mu-law, A-law) or as 64-byte ADPCM blocks, without
 loss; ``decode`` reads WAVE bytes back, expands the codes by lookup tables, decodes all ADPCM blocks of a
-batch side by side, and resamples 8 kHz to 16 kHz. Both work on slices of a batch, so that memory
-does not depend on the number or the length of rows.
+batch side by side, and resamples 8 kHz to 16 kHz. Both work on slices of a batch, and a long clip is decoded in pieces, so that
+memory beyond a row's own input and output depends neither on the number nor on the length of rows.
 
 Defined results: a null payload is stored as null media; null or foreign bytes decode to null in every
-output column; an empty data chunk has an empty payload and no samples. Repeated rows give repeated rows.
+output column; an empty data chunk has an empty payload and no samples. Repeated rows give repeated rows; columns named like the
+new ones are replaced, others are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,6 +177,37 @@ def _samples(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def _binary(clip: np.ndarray) -> pa.Array:
+    """One binary value on the clip's own memory."""
+    raw = clip.astype("<i2", copy=False)
+    return pa.BinaryArray.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, raw.nbytes], np.int32)), pa.py_buffer(raw)])
+
+
+#: Payload bytes of one clip that are decoded at a time.
+PIECE = 1 << 19
+
+
+def decoded_clip(codec: int, body: bytes) -> tuple[np.ndarray, int, int, int]:
+    """16 kHz samples of one clip of any length, piece by piece; the sum of their squares, their peak, and their sign changes.
+
+    Blocks are independent, and a piece is decoded with a block more on both sides, which is more than the resampler reaches."""
+    each = BLOCK_SAMPLES if codec == ADPCM else BLOCK
+    out = np.empty(2 * (len(body) // BLOCK * each if codec == ADPCM else len(body)), np.int16)
+    energy = peak = turns = at = 0
+    for a in range(0, len(body), PIECE):
+        lo, hi = max(0, a - BLOCK), min(len(body), a + PIECE + BLOCK)
+        low, offsets = _samples([(codec, body[lo:hi])])
+        skip = 2 * (each if lo < a else 0)
+        n = 2 * (min(PIECE, len(body) - a) // BLOCK * each if codec == ADPCM else min(PIECE, len(body) - a))
+        clip = doubled(low, offsets)[skip : skip + n]
+        out[at : at + n] = clip
+        energy += int(np.square(clip.astype(np.int64)).sum())
+        peak = max(peak, int(clip.max()), -int(clip.min()))
+        turns += int(((clip[1:] < 0) != (clip[:-1] < 0)).sum()) + int(at > 0 and (out[at - 1] < 0) != (clip[0] < 0))
+        at += n
+    return out, energy, peak, turns
+
+
 def decode(df: DataFrame, media: str = "media") -> DataFrame:
     """df, without the media column, with codec int, payload binary, pcm binary (16 kHz, 16-bit little-endian),
     n_samples long, rms double, peak int and crossings long (sign changes) of the stored PCM."""
@@ -190,6 +222,12 @@ def decode(df: DataFrame, media: str = "media") -> DataFrame:
         for batch in batches:
             for part in sliced(batch, len(rest)):
                 read = [opened(x) for x in part.column(len(rest)).to_pylist()]
+                if part.num_rows == 1 and read[0] is not None and len(read[0][1]) > PIECE:
+                    codec, body = read[0]
+                    clip, energy, peak, turns = decoded_clip(codec, body)
+                    one = (pa.array([codec], pa.int32()), pa.array([body], pa.binary()), _binary(clip), pa.array([len(clip)]), pa.array([float(np.sqrt(energy / len(clip)))]), pa.array([peak], pa.int32()), pa.array([turns]))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *one], names=[*rest, *names])
+                    continue
                 good = [x for x in read if x is not None]
                 low, offsets = _samples(good)
                 pcm = doubled(low, offsets)

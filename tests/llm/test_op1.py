@@ -75,3 +75,28 @@ def test_resampling_does_not_depend_on_neighbours():
     for i, c in enumerate(clips):
         alone = t.doubled(c, np.array([0, len(c)]))
         assert joint[2 * offsets[i] : 2 * offsets[i + 1]].tolist() == alone.tolist() and alone[::2].tolist() == c.tolist()
+
+
+def test_long_clips_in_pieces_equal_whole_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(t, "PIECE", 640)
+    for codec in (t.MULAW, t.ALAW, t.ADPCM):
+        for blocks in (1, 10, 11, 37):
+            body = rng.integers(0, 256, blocks * 64, dtype=np.uint8).tobytes()
+            low, offsets = t._samples([(codec, body)])
+            want = t.doubled(low, offsets)
+            got, energy, peak, turns = t.decoded_clip(codec, body)
+            wide = want.astype(np.int64)
+            assert np.array_equal(got, want) and energy == (wide**2).sum() and peak == max(wide.max(), -wide.min()) and turns == ((want[1:] < 0) != (want[:-1] < 0)).sum()
+
+
+def test_a_very_long_text(spark):
+    text = "some words of a long text " * 60_000
+    got = t.text_media(spark.createDataFrame([(k, text + "x" * k) for k in range(3)], "doc_id long, text string")).collect()
+    for r in got:
+        body = (text + "x" * r["doc_id"]).encode()
+        body += b"\0" * (-len(body) % 64)
+        assert r["payload_sha256"] == hashlib.sha256(body).hexdigest()
+        codec = int(r["feature"].split(";")[0].split("=")[1])
+        low, offsets = t._samples([(codec, body)])
+        assert r["pcm_sha256"] == hashlib.sha256(t.doubled(low, offsets).tobytes()).hexdigest()
