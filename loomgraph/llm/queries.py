@@ -64,7 +64,7 @@ def op9_chat_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return chat.read_back(chat.formatted(rows))
+    return chat.read_back(chat.formatted(rows), in_order=True)
 
 
 def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:

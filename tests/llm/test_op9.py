@@ -2,6 +2,7 @@ import duckdb
 import numpy as np
 
 from loomgraph.llm import chat
+from loomgraph.llm.common import buffers
 from loomgraph.llm.queries import ORACLES, QUERIES
 
 HARD = [
@@ -56,3 +57,27 @@ def test_nulls_ties_and_one_long_conversation(spark):
     assert chat.parsed(got[9]["formatted"]) == [("assistant", f"turn {k} ") for k in range(3000)]
     assert [got[9]["formatted"][s["start"] : s["start"] + s["length"]] for s in got[9]["loss_spans"]] == [f"turn {k} " for k in range(3000)]
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chunks_of_a_long_conversation(spark):
+    """A conversation of many chunks reads back as it does in one row, in order or dealt anew."""
+    rows = [(c, k, ["assistant", "user"][k % 2], f"turn {k} é " * (k % 5 + 1)) for c in (3, None, 4) for k in range(700 if c == 3 else 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        cut = chat.formatted(df, chunk_bytes=2000).cache()
+        whole = sorted(map(str, chat.read_back(chat.formatted(df), in_order=True).collect()))
+        assert {r["conv_id"]: r["n"] for r in cut.selectExpr("conv_id", "chunk").groupBy("conv_id").agg({"chunk": "max"}).toDF("conv_id", "n").collect()}[3] > 3
+        assert sorted(map(str, chat.read_back(cut.orderBy("chunk")).collect())) == whole
+        assert sorted(map(str, chat.read_back(chat.formatted(df, chunk_bytes=2000), in_order=True).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_column_is_the_assembled_array():
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array(["user", "assistant", "user"]), pa.array(["a", "b", "c"])], names=["conv_id", "role", "text"])
+    first, rows = chat._segments(part, ("assistant",))
+    out, at, _, _ = chat.assembled(["user", "assistant", "user"], *buffers(part.column(2)))
+    assert first == [0, 2] and rows.column(2).buffers()[2].size == len(out) and rows.column(2).to_pylist() == [out[at[0] : at[2]].tobytes().decode(), out[at[2] :].tobytes().decode()]
