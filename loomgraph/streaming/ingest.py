@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.plans.convert import Adapter, convert
+from loomgraph.sources import documents as bytes_of
 
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def documents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """doc_id (the file's path) and text of files as they arrive; bytes that are no UTF-8 give a null text."""
+def documents(spark: SparkSession, folder: str, pattern: str = "*", syntax: str = "xml") -> DataFrame:
+    """doc_id (the file's path) and text of files as they arrive. XML in the encoding that it tells, JSON in UTF-8 without a byte order
+    mark; other bytes give a null text, which conversion reports as a document that can't be read."""
     files = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.col("path").alias("doc_id"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    content = F.col("content")
+    return files.select(F.col("path").alias("doc_id"), (bytes_of.decoded_json(content) if syntax == "json" else bytes_of.decoded(content)).alias("text"))
 
 
 def start(stream: DataFrame, adapter: Adapter, out: str, checkpoint: str, trigger: dict | None = None, made: Callable[[DataFrame, Adapter], object] = convert) -> StreamingQuery:
