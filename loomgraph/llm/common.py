@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.tables import shared_dir, table, written
 
-__all__ = ["SLICE_BYTES", "buffers", "drop_shuffles", "free_name", "id_and_text", "shared_dir", "sliced", "small_batches", "table", "written"]
+__all__ = ["SLICE_BYTES", "buffers", "drop_shuffles", "free_name", "id_and_text", "release", "shared_dir", "sliced", "small_batches", "table", "written"]
 
 #: Bytes of text that one task turns into numpy arrays at a time.
 SLICE_BYTES = 1 << 20
@@ -58,6 +60,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the machine: workers are kept for later stages, their idle memory should not be."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batch: pa.RecordBatch, column: int, max_bytes: int = SLICE_BYTES):
     """Consecutive slices of a batch whose texts have about max_bytes together (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -68,4 +78,4 @@ def sliced(batch: pa.RecordBatch, column: int, max_bytes: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()  # workers are kept for later stages, their idle memory should not be
+    release()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SLICE_BYTES, buffers, drop_shuffles, id_and_text, shared_dir, sliced, written
+from loomgraph.llm.common import SLICE_BYTES, buffers, drop_shuffles, id_and_text, release, shared_dir, sliced, written
 from loomgraph.llm.components import components
 from loomgraph.llm.words import FIRST, U64, Words, _mixed
 
@@ -179,7 +179,7 @@ def links(fps: DataFrame, path: str, passes: int | None = None) -> DataFrame:
                         pa.array([v[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
                         pa.array([m[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
                     ], names=["bucket", "variants", "masks"])
-            pa.default_memory_pool().release_unused()
+            release()
 
         return run
 
@@ -187,7 +187,7 @@ def links(fps: DataFrame, path: str, passes: int | None = None) -> DataFrame:
         variants, masks = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("variants", U64), ("masks", np.uint16)))
         del group
         a, b = links_met(variants, masks)
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     made = []

@@ -12,6 +12,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 
 U64 = np.uint64
+#: Values of a span whose powers a worker keeps.
+KEPT_POWERS = (1 << 20) + 1
 
 
 def _mixed(x: np.ndarray, multiplier: int) -> np.ndarray:
@@ -33,17 +35,20 @@ class Lane:
         self.multiplier = int(rng.integers(0, 1 << 62)) * 2 + 1
         self.up = self.down = np.ones(1, U64)
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate(([U64(1)], np.full(n, self.base, U64))), dtype=U64)
-            self.down = np.cumprod(np.concatenate(([U64(1)], np.full(n, self.inverse, U64))), dtype=U64)
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse. Those for a usual slice are kept, longer ones are made anew."""
+        if len(self.up) >= n:
+            return self.up, self.down
+        made = [np.cumprod(np.concatenate(([U64(1)], np.full(max(n, 1 << 16), x, U64))), dtype=U64) for x in (self.base, self.inverse)]
+        if n <= KEPT_POWERS:
+            self.up, self.down = made
+        return made[0], made[1]
 
     def _spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(values) + 1)
+        up, down = self._powers(len(values) + 1)
         prefix = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], dtype=U64, out=prefix[1:])
-        return _mixed((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(U64), self.multiplier)
+        np.cumsum(values * up[: len(values)], dtype=U64, out=prefix[1:])
+        return _mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64), self.multiplier)
 
     def of_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self._spans(self.letters[data], starts, ends)
