@@ -164,7 +164,7 @@ def calibrated(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
 
 def token_vectors(texts: DataFrame) -> Vectors:
     """Vectors of all tokens of all texts: one table of sums a task, added up part by part."""
-    parts, size = 64, (1 << PLACES) // 64
+    parts, size = 512, (1 << PLACES) // 512
 
     def run(batches):
         table = np.zeros((1 << PLACES, SIZE), np.int64)
